@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemason.llm.canonical import UNMATCHED, canonicalise, unmatched_report
+from lakemason.llm.neardup import near_duplicates, pairs_of
 from lakemason.llm.survivor import long_form, survivors
 from lakemason.operators.lookup import resolve_values
 from lakemason.sources.tables import table
@@ -50,5 +51,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_survivors(spark, sf_dir).select("duplicate_group_id", "field_name", "field_value")
 
 
-QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(listing_id, class_id, n_links) of every advert that was posted again."""
+    rows = table(spark, sf_dir, "clean_khmer24").select("listing_id", "title", "description")
+    return near_duplicates(rows, "listing_id", F.concat_ws("\n", "title", "description")).withColumnRenamed("key", "listing_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pairs_of(p5_classes(spark, sf_dir).withColumnRenamed("listing_id", "key"))
+    return pairs.select(F.col("key_1").alias("listing_id_1"), F.col("key_2").alias("listing_id_2"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE: dict[str, str] = {}
