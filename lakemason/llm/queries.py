@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemason.llm.canonical import UNMATCHED, canonicalise, unmatched_report
+from lakemason.llm.matching import match
 from lakemason.llm.neardup import near_duplicates, pairs_of
 from lakemason.llm.survivor import long_form, survivors
 from lakemason.operators.lookup import resolve_values
@@ -62,5 +63,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("key_1").alias("listing_id_1"), F.col("key_2").alias("listing_id_2"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an agency's and a classified advert for one flat, with rule and confidence."""
+    pairs = match(table(spark, sf_dir, "clean_harbor"), table(spark, sf_dir, "clean_khmer24"))
+    return pairs.select(F.least("left_id", "right_id").alias("listing_id_1"), F.greatest("left_id", "right_id").alias("listing_id_2"), "rule", F.round("confidence", 4).alias("confidence"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_matches(spark, sf_dir).select("listing_id_1", "listing_id_2").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE: dict[str, str] = {}
