@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakemason.llm.canonical import UNMATCHED, canonicalise, unmatched_report
 from lakemason.llm.matching import match
 from lakemason.llm.neardup import near_duplicates, pairs_of
+from lakemason.llm.pii import find_details, revealing_terms, sanitise
 from lakemason.llm.survivor import long_form, survivors
 from lakemason.operators.lookup import resolve_values
 from lakemason.sources.tables import table
@@ -73,5 +74,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_matches(spark, sf_dir).select("listing_id_1", "listing_id_2").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def _texts_with_details(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
+    rows = table(spark, sf_dir, "clean_khmer24").select("listing_id", "title", "description")
+    return rows, revealing_terms(rows.select(F.concat_ws("\n", "title", "description").alias("text")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, terms = _texts_with_details(spark, sf_dir)
+    return find_details(rows, "listing_id", ["title", "description"], terms).withColumnRenamed("key", "listing_id")
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adverts with typed placeholders instead of personal details."""
+    return sanitise(*(lambda r, t: (r, ["title", "description"], t))(*_texts_with_details(spark, sf_dir)))
+
+
+QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted, "p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE: dict[str, str] = {}
