@@ -179,8 +179,9 @@ def match(left: DataFrame, right: DataFrame) -> DataFrame:
         if rest is not None:
             met = met.where(fits & alike("a_rest", "b_rest"))
         labelled = cut_lineage(met.select("a_id", "b_id", fits.alias("ok")).groupBy("a_id", "b_id").agg(F.max("ok").alias("ok")))
-        share = labelled.agg(((F.count_if("ok") + 1) / (F.count("*") + 2)).alias("confidence"))
-        hits = labelled.where("ok").select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.lit(name).alias("rule")).crossJoin(F.broadcast(share))
+        right_ones, n = labelled.agg(F.count_if("ok"), F.count("*")).first()
+        confidence = F.lit((right_ones + 1) / (n + 2)).alias("confidence")
+        hits = labelled.where("ok").select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.lit(name).alias("rule"), confidence)
         found = hits if found is None else found.unionByName(hits)
         open_ = open_.join(hits.select(F.col("right_id").alias("id")).distinct(), "id", "left_anti")
     return found

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemason.llm.canonical import UNMATCHED, canonicalise, unmatched_report
+from lakemason.llm.leakage import find_leaks
 from lakemason.llm.matching import match
 from lakemason.llm.neardup import near_duplicates, pairs_of
 from lakemason.llm.pii import find_details, revealing_terms, sanitise
 from lakemason.llm.survivor import long_form, survivors
 from lakemason.operators.lookup import resolve_values
-from lakemason.sources.tables import table
+from lakemason.sources.tables import spread, table
 
 
 def _districts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +90,14 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise(*(lambda r, t: (r, ["title", "description"], t))(*_texts_with_details(spark, sf_dir)))
 
 
-QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted, "p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the test items they hold, and how much of each."""
+    return find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_redacted": p6_redacted, "p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE: dict[str, str] = {}
