@@ -128,3 +128,47 @@ def minwise(hashes: np.ndarray, docs: np.ndarray, n_docs: int, count: int, seed:
         low = np.minimum.reduceat((hashes ^ b) * (a | np.uint64(1)), at)
         out[rows, k] = (mix(low) >> np.uint64(48)).astype(np.uint16)
     return out
+
+
+def _unit_table() -> np.ndarray:
+    """0 gap, 1 part of a word, 2 a unit of its own (scripts without blanks), 3 left out."""
+    if "unit" not in _tables:
+        kind = np.zeros(0x10000, np.int8)
+        for c in range(0x10000):
+            category = unicodedata.category(chr(c))
+            if category[0] in "LMN":
+                kind[c] = 1
+            elif category == "Cf":
+                kind[c] = 3
+        for lo, hi in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17DF), (0x3040, 0x30FF), (0x3400, 0x9FFF)):
+            part = np.arange(lo, hi + 1)
+            kind[part[kind[part] == 1]] = 2
+        for c in (*range(0x17B4, 0x17D4), 0x17DD):
+            kind[c] = 3  # Khmer vowel signs and marks: typed in differing order, so not compared
+        _tables["unit"] = kind
+    return _tables["unit"]
+
+
+def units(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text's position, kind) of comparison units, case, marks and punctuation left out.
+
+    Kind 1 is a word, 2 a letter of a script without blanks, 3 a word with a digit.
+    """
+    codes, begins = code_points([unicodedata.normalize("NFKC", t).lower().translate(_KHMER_DIGITS) for t in texts])
+    owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(codes))))
+    kind = np.where(codes < 0x10000, _unit_table()[np.minimum(codes, 0xFFFF)], np.where((codes >= 0x20000) & (codes < 0x30000), 2, 0))
+    keep = kind != 3
+    codes, kind, owner = codes[keep], kind[keep], owner[keep]
+    word = kind == 1
+    edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    digits = np.concatenate([[0], np.cumsum((codes >= 48) & (codes <= 57))])
+    single = np.flatnonzero(kind == 2)
+    at = np.concatenate([starts, single])
+    hashes = np.concatenate([span_hash(codes, starts, ends), mix(codes[single].astype(np.uint64) + np.uint64(1 << 32))])
+    kinds = np.concatenate([np.where(digits[ends] > digits[starts], 3, 1), np.full(len(single), 2)])
+    order = np.argsort(at, kind="stable")
+    return hashes[order], owner[at[order]], kinds[order]
+
+
+_KHMER_DIGITS = {0x17E0 + d: str(d) for d in range(10)}
