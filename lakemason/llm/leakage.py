@@ -27,7 +27,7 @@ LETTER_MASKS = ("111011010111", "1101101011101", "11101001101011")
 #: Items that a task holds at a time; more are worked off in blocks, each against all documents.
 BLOCK_ITEMS = 20_000
 #: Share of an item that a passage must span, of the passage that must agree, and of its facts.
-SPAN, AGREE, FACTS = 0.42, 0.78, 0.6
+SPAN, AGREE, FACTS = 0.5, 0.84, 0.6
 #: Units that may be skipped within a passage, on either side.
 GAP = 4
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemason.llm.canonical import UNMATCHED, canonicalise, unmatched_report
+from lakemason.llm.encoding import encode_corpus, tokenizer_folder
 from lakemason.llm.leakage import find_leaks
 from lakemason.llm.matching import match
 from lakemason.llm.neardup import near_duplicates, pairs_of
 from lakemason.llm.pii import find_details, revealing_terms, sanitise
+from lakemason.llm.sentences import sentence_units
 from lakemason.llm.survivor import long_form, survivors
 from lakemason.operators.lookup import resolve_values
 from lakemason.sources.tables import spread, table
@@ -99,5 +101,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_redacted": p6_redacted, "p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k, without special tokens."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encode_corpus(documents, "doc_id", "text", f"{tokenizer_folder()}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of every document."""
+    return sentence_units(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+QUERIES = {"p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_redacted": p6_redacted, "p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
 ORACLE: dict[str, str] = {}
