@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakemason.sources.tables import cut_lineage
+
 #: A term discloses a person where at least this share of its occurrences is protected...
 DISCLOSURE = 0.4
 #: ...and it is protected at least so often, and at least in one of so many texts: at most
@@ -28,14 +31,18 @@ TYPES = ("email", "id_number", "phone", "address", "name")
 SPANS = "array<struct<pii_type: string, span_start: int, span_end: int>>"
 
 # Other digits than ASCII, one code point for one.
-_DIGITS = {ord(c): str(i % 10) for i, c in enumerate("០១២៣៤៥៦៧៨៩０１２３４５６７８９")}
+_OTHER_DIGIT = re.compile("[០-៩０-９]")
+#: Everything in ASCII but letters parts words.
+_PARTS = {i: " " for i in range(128) if not chr(i).isalpha()}
 _S = r"[ .\-/ ]"
 _N = "[0-9O]"
-_PHONE = re.compile(
-    rf"(?<![\w+])(?:\(\+855\)|\+855|\(00855\)|00855){_S}?(?:\(?0?{_N}{{2}}\)?{_S}?{_N}{{3}}{_S}?{_N}{{3,4}})(?![\w])"
-    rf"|(?<![\w+])\([0O][1-9O]{_N}\){_S}?{_N}{{3}}{_S}?{_N}{{3,4}}(?!\w)"
-    rf"|(?<![\w+])(?<!\d[.,/])[0O][1-9]{_N}{_S}?{_N}{{3}}{_S}?{_N}{{3,4}}(?!\w)"
-    rf"|(?<![\w+])[0O] [1-9](?: {_N}){{7,8}}(?![ ]?\w)|(?<![\w+])[0O] [1-9](?: {_N}){{7,8}}(?!\w)"
+_PHONE = re.compile(  # begins with one of four characters, which the search skips to
+    rf"[(+0O](?<![\w+].)(?:"
+    rf"(?:(?<=\()\+855\)|(?<=\+)855|(?<=0)0855|(?<=\()00855\)){_S}?(?:\(?0?{_N}{{2}}\)?{_S}?{_N}{{3}}{_S}?{_N}{{3,4}})"
+    rf"|(?<=\()[0O][1-9O]{_N}\){_S}?{_N}{{3}}{_S}?{_N}{{3,4}}"
+    rf"|(?<=[0O])(?<!\d[.,/].)[1-9O]{_N}{_S}?{_N}{{3}}{_S}?{_N}{{3,4}}"
+    rf"|(?<=[0O]) [1-9](?: {_N}){{7,8}}"
+    rf")(?!\w)"
 )
 _CODE_BEFORE = re.compile(r"(?:code|ref|listing no|no|number|plan|lot)[.:]?\s*$", re.I)
 _AT = r"(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?|\sat\s)"
@@ -52,7 +59,7 @@ _ADDRESS = re.compile(
     r"|ផ្ទះ(?:លេខ)?\s*\d+[a-z]?\s*,?\s*ផ្លូវ(?:លេខ)?\s*\d+",
     re.I,
 )
-_ADDRESS_HINT = re.compile(r"\b(?:street|st|road|boulevard|avenue)\b|ផ្លូវ", re.I)
+_ADDRESS_HINTS = ("street", "road", "boulevard", "st.", " st ", "avenue", "ផ្លូវ")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+|[ក-៓ៜ៝]+|[一-鿿]+")
 _LATIN_NAME = re.compile(r"[\s:]*((?:[A-Z]\.\s?)?[A-Z][A-Za-z]{2,}(?:\s+[A-Z][A-Za-z]{2,})?|[A-Z]\.\s?[A-Z][A-Za-z]{2,})")
 _KHMER_NAME = re.compile(r"[\s:]*([ក-៓]+(?:\s+[ក-៓]+)?)(?=\s*(?:លេខ|។|,|$))")
@@ -62,22 +69,25 @@ _INITIAL = re.compile(r"(?<!\w)[A-Za-z]\.\s?$")
 _TITLES = frozenset("mr ms mrs miss dr".split())
 _CUES = frozenset("contact owner name call 联系人 លោក លោកស្រី ឈ្មោះ អ្នកស្រី អ្នក".split())
 _FOR = frozenset("ask file".split())
+_TRIGGERS = _TITLES | _CUES | _FOR
 _NO_NAMES = frozenset("the our your this phone tel email mail contact owner seller condo penthouse street road whatsapp telegram villa house passport boulevard lane borey".split())
 
 
 def fixed_details(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with ASCII digits, spans of mail addresses, identity numbers, phones and addresses)."""
-    plain = text if text.isascii() else text.translate(_DIGITS)
+    plain = text
+    if not text.isascii() and _OTHER_DIGIT.search(text):
+        plain = _OTHER_DIGIT.sub(lambda m: str(unicodedata.digit(m[0])), text)
     spans: list[tuple[int, int, str]] = []
 
     def add(start: int, end: int, kind: str) -> None:
         if all(end <= s or start >= e for s, e, _ in spans):
             spans.append((start, end, kind))
 
-    if "@" in plain or "dot" in plain or "(at)" in plain or "[at]" in plain or "DOT" in plain:
+    low = plain.lower()
+    if "@" in plain or "(at)" in low or "[at]" in low or " dot " in low:
         for m in _EMAIL.finditer(plain):
             add(m.start(), m.end(), "email")
-    low = plain.lower()
     if "card" in low or "passport" in low or "អត្ត" in low or "លិខិត" in low or "证" in low or "护照" in low:
         for m in _ID_LABEL.finditer(plain):
             if v := _ID.match(plain, _ID_GAP.match(plain, m.end()).end()):
@@ -88,7 +98,7 @@ def fixed_details(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     for m in _PHONE.finditer(plain):
         if not _CODE_BEFORE.search(plain, max(0, m.start() - 14), m.start()):
             add(m.start(), m.end(), "phone")
-    if _ADDRESS_HINT.search(plain):
+    if any(hint in low for hint in _ADDRESS_HINTS):
         for m in _ADDRESS.finditer(plain):
             add(m.start(), m.end(), "address")
     return plain, spans
@@ -127,6 +137,11 @@ def _words(text: str) -> list[tuple[str, int, int]]:
     return [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+def _plain_words(text: str) -> list[str]:
+    """The words of _words in small letters, without their places: much faster."""
+    return text.lower().translate(_PARTS).split() if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+
+
 def learn_terms(texts: DataFrame) -> DataFrame:
     """(term, n_protected, n_total, bits) of every term that stands in a protected position.
 
@@ -141,10 +156,11 @@ def learn_terms(texts: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 n += 1
-                words = _words(text)
-                total.update(w.lower() for w, _, _ in words)
+                words = _plain_words(text)
+                total.update(words)
                 if not text.isupper():
-                    for s, e in cued_names(text, words, fixed_details(text)[1]):
+                    places = [] if _TRIGGERS.isdisjoint(words) else _words(text)
+                    for s, e in cued_names(text, places, fixed_details(text)[1]):
                         protected.update(w.lower() for w, _, _ in _words(text[s:e]) if len(w) > 1)
             if len(total) > 500_000:
                 yield _counts(total, protected, n)
@@ -163,7 +179,7 @@ def _counts(total: Counter, protected: Counter, n: int) -> pd.DataFrame:
 
 def revealing_terms(texts: DataFrame) -> dict[str, float]:
     """term -> bits disclosed, for the terms above the thresholds: a bounded number (see LEAST)."""
-    counts = learn_terms(texts)
+    counts = cut_lineage(learn_terms(texts))
     n_texts = sum(r["n_total"] for r in counts.where("term = ''").collect())
     least = max(LEAST, n_texts / PER_TEXTS)
     kept = counts.where((F.col("term") != "") & (F.col("n_protected") >= least) & (F.col("n_protected") >= DISCLOSURE * F.col("n_total"))).collect()
@@ -176,7 +192,8 @@ def details(text: str | None, terms: dict[str, float]) -> list[tuple[str, int, i
     if not text:
         return []
     plain, spans = fixed_details(text)
-    words = _words(text)
+    seen = _plain_words(text)
+    words = [] if terms.keys().isdisjoint(seen) and _TRIGGERS.isdisjoint(seen) else _words(text)
     names = cued_names(text, words, spans)
     run: list[int] | None = None
     for word, start, end in [*words, ("", len(text) + 9, len(text) + 9)]:
