@@ -36,6 +36,13 @@ _SMALL_START, _CAPITAL_START = (re.compile(rf"[a-z]{{3,}}\.\s+[{c}]") for c in (
 _GOES_ON = frozenset("and or but to until till on in every for at as by daily sharp when while if".split())
 
 
+def starts_word(text: str, i: int) -> bool:
+    """Does a word start at ``i``? Behind a full stop only where that one ended a sentence."""
+    if i == 0 or not (text[i - 1].isalnum() or text[i - 1] == "."):
+        return True
+    return text[i - 1] == "." and i > 2 and (text[i - 2].isdigit() or (text[i - 2].isalpha() and text[i - 3].isalpha()))
+
+
 class Trie:
     """Words by their letters from the last to the first."""
 
@@ -54,7 +61,7 @@ class Trie:
         while i > 0 and text[i - 1].lower() in node:
             i -= 1
             node = node[text[i].lower()]
-            if "" in node and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] == ".")):
+            if "" in node and starts_word(text, i):
                 found = node[""]
         return found
 
@@ -246,8 +253,8 @@ class Automaton:
             return not ahead.isdigit()
         if kind == "country":
             return False
-        lone = prev.isalpha() and (i < 2 or not (text[i - 2].isalnum() or text[i - 2] == "."))
-        if kind == "last":
+        lone = prev.isalpha() and starts_word(text, i - 1)
+        if kind == "last" and not (lone and prev.isupper()):
             if self.small:
                 return text[max(0, i - 3) : i] in ("a.m", "p.m") and text[n : n + 9].split()[0].strip(",.;") not in _GOES_ON
             return not (ahead.islower() or ahead.isdigit() or ahead in ",;:")
