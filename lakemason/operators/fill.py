@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Length of the time slices into which an entity's history is cut. An entity with a third of
-#: all rows spreads over its slices; only one row a slice and entity is carried between them.
+#: all rows spreads over its slices; only one row a slice and entity is carried between them,
+#: and rows of one instant meet in one row, so that no window depends on the number of rows.
 SLICE_SECONDS = 7 * 86_400.0
 
 
@@ -24,27 +25,34 @@ def fill_in_time(rows: DataFrame, entity: str, order: Column, fields: dict[str,
     method ``observed`` and distance 0. A null number with neighbours on both sides is
     ``interpolated``, with one it is ``carried``; a category is ``carried`` from the nearer
     neighbour, the earlier on ties. Without a neighbour it stays null, method ``none``.
-    Null entities are nobody's records. Neighbours of one instant: the greatest value counts.
+    Columns of ``rows`` stay, but for those of the added names. Null entities are nobody's records. Neighbours of one instant: the greatest value counts.
     """
     usable, gap = usable or {}, gap or {}
-    base = rows.withColumn("_t", order.cast("double")).withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_width)))
+    # the row travels as one struct, so that its columns' names can't clash with the work's own
+    packed = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+    t = order.cast("double")
+    placed = t.isNotNull() & F.col(entity).isNotNull()
+    seen = []
     for f in fields:
-        can = F.col(f).isNotNull() & F.coalesce(usable.get(f, F.lit(True)), F.lit(False)) & F.col("_t").isNotNull() & F.col(entity).isNotNull()
-        base = base.withColumn(f"_o_{f}", F.when(can, F.struct(F.col("_t").alias("t"), F.col(f).alias("v"))))
-    ends = base.where(F.col(entity).isNotNull() & F.col("_t").isNotNull()).groupBy(entity, "_slice").agg(
+        can = placed & F.col(f).isNotNull() & F.coalesce(usable.get(f, F.lit(True)), F.lit(False))
+        seen.append(F.when(can, F.struct(t.alias("t"), F.col(f).alias("v"))).alias(f"_o_{f}"))
+    base = rows.select(packed, F.col(entity).alias("_e"), t.alias("_t"), F.floor(t / F.lit(slice_width)).alias("_slice"), *seen)
+    ends = base.where("_e is not null and _t is not null").groupBy("_e", "_slice").agg(
         *[F.max(f"_o_{f}").alias(f"_last_{f}") for f in fields], *[F.min(f"_o_{f}").alias(f"_first_{f}") for f in fields]
     )
-    before = Window.partitionBy(entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(entity).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select(entity, "_slice", *[F.last(f"_last_{f}", True).over(before).alias(f"_p_{f}") for f in fields], *[F.first(f"_first_{f}", True).over(after).alias(f"_n_{f}") for f in fields])
-    joined = base.join(carried, [entity, "_slice"], "left")
-    up_to = Window.partitionBy(entity, "_slice").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    on = Window.partitionBy(entity, "_slice").orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    keep = list(rows.columns)
-    out = joined
+    before = Window.partitionBy("_e").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_e").orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select("_e", "_slice", *[F.last(f"_last_{f}", True).over(before).alias(f"_p_{f}") for f in fields], *[F.first(f"_first_{f}", True).over(after).alias(f"_n_{f}") for f in fields])
+    # within a slice, instants are looked at once each, however many rows they hold
+    ticks = base.where("_e is not null and _t is not null").groupBy("_e", "_slice", "_t").agg(*[F.max(f"_o_{f}").alias(f"_o_{f}") for f in fields])
+    up_to = Window.partitionBy("_e", "_slice").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = Window.partitionBy("_e", "_slice").orderBy("_t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    joined = ticks.join(carried, ["_e", "_slice"], "left")
+    sides = []
     for f in fields:
-        inside_last, inside_next = F.max(f"_o_{f}").over(up_to), F.min(f"_o_{f}").over(on)
-        out = out.withColumn(f"_b_{f}", F.coalesce(inside_last, F.col(f"_p_{f}"))).withColumn(f"_a_{f}", F.coalesce(inside_next, F.col(f"_n_{f}")))
+        sides.append(F.coalesce(F.last(f"_o_{f}", True).over(up_to), F.col(f"_p_{f}")).alias(f"_b_{f}"))
+        sides.append(F.coalesce(F.first(f"_o_{f}", True).over(on), F.col(f"_n_{f}")).alias(f"_a_{f}"))
+    out = base.select("_row", "_e", "_t").join(joined.select("_e", "_t", *sides), ["_e", "_t"], "left")
     # distances first, null where a side has no neighbour within the gap; then the values from them
     for f in fields:
         within = (lambda d, limit=gap.get(f): d) if gap.get(f) is None else (lambda d, limit=gap.get(f): F.when(d <= limit, d))
@@ -57,9 +65,11 @@ def fill_in_time(rows: DataFrame, entity: str, order: Column, fields: dict[str,
         if kind == "number":
             value = F.coalesce(earlier + (later - earlier) * F.try_divide(db, db + da), carry)
             method = F.when((db + da).isNotNull(), "interpolated").otherwise(method)
-        held = F.col(f).isNotNull()
-        picks += [F.coalesce(F.col(f), value).alias(f"{f}_filled"), F.when(held, "observed").otherwise(method).alias(f"{f}_method"), F.when(held, 0.0).otherwise(F.least(db, da)).alias(f"{f}_distance")]
-    return out.select(*keep, *picks)
+        own = F.col(f"_row.`{f}`")
+        held = own.isNotNull()
+        picks += [F.coalesce(own, value).alias(f"{f}_filled"), F.when(held, "observed").otherwise(method).alias(f"{f}_method"), F.when(held, 0.0).otherwise(F.least(db, da)).alias(f"{f}_distance")]
+    names = {f"{f}_{n}" for f in fields for n in ("filled", "method", "distance")}
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in rows.columns if c not in names], *picks)
 
 
 def unanimous(rows: DataFrame, entity: str, value: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemason.functions.names import Gazetteer
+from lakemason.sources.tables import widen
 
 #: Entries of the reference list that one task holds at a time; a longer list is worked
 #: off in blocks of this size, each against all values, and the best entry of all wins.
@@ -25,6 +26,7 @@ def resolve_values(values: DataFrame, value: str, mapping: DataFrame, raw: str,
     """
     spark = values.sparkSession
     distinct = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull()).distinct()
+    distinct = widen(distinct)  # comparing names is slow, and names are short
     entries = mapping.select(F.col(raw).alias("raw"), F.col(standard).alias("standard")).dropna().distinct()
     n_blocks = max(1, math.ceil(entries.count() / BLOCK_ENTRIES))
     scored = None

@@ -25,8 +25,8 @@ def value_counts(df: DataFrame, column: str, missing: str | None = None, share:
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, missing, non_missing, pct) for each column, in one pass."""
-    one = df.agg(F.count("*").alias("n"), *[F.count(F.col(c)).alias(c) for c in columns])
-    long = one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("non_missing")) for c in columns])).alias("s"))
+    one = df.agg(F.count("*").alias("n"), F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(F.col(c)).alias("non_missing")) for c in columns]).alias("all"))
+    long = one.select("n", F.explode("all").alias("s"))
     held = F.col("s.non_missing")
     return long.select("s.column_name", (F.col("n") - held).alias("missing"), held.alias("non_missing"), F.when(F.col("n") > 0, F.round(100 * held / F.col("n"), 1)).alias("pct"))
 

@@ -28,6 +28,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Few bytes, much work: as many tasks as the session shuffles into, not as few as their size asks for.
+
+    A partition count that is named is one the adaptive planner leaves alone.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def spread(df: DataFrame, cores_hint: int = 3) -> DataFrame:
     """Give CPU-heavy Python stages enough tasks when a small file arrives as few splits.
 
