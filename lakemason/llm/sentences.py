@@ -88,6 +88,7 @@ class Automaton:
         self.open: list[tuple[str, bool]] = []  # closing marks awaited, and: opened at the unit's start?
         self.start = 0
         self.in_list = False
+        self.token = (0, 0, False)  # the last run without blanks: start, end, is it an address?
 
     def run(self) -> list[tuple[int, int]]:
         self._begin(0)
@@ -269,19 +270,23 @@ class Automaton:
         text = self.text
         if (prev.isdigit() and after.isdigit()) or not (prev.isalnum() or prev in ")”\"»%"):
             return False
-        lo, hi = i, i
-        while lo > 0 and not text[lo - 1].isspace():
-            lo -= 1
-        while hi < self.size and not text[hi].isspace():
-            hi += 1
-        if _ADDRESS.search(text, lo, hi) or ABBREVIATIONS.before(text, i) in ("before", "numbered", "country"):
+        lo, hi, address = self.token
+        if not lo <= i < hi:
+            lo, hi = i, i
+            while lo > 0 and not text[lo - 1].isspace():
+                lo -= 1
+            while hi < self.size and not text[hi].isspace():
+                hi += 1
+            address = bool(_ADDRESS.search(text, lo, hi))
+            self.token = lo, hi, address
+        if address or ABBREVIATIONS.before(text, i) in ("before", "numbered", "country"):
             return False
         if _wide(after) or _khmer(after) or after in '"“«(':
             return True
         two = prev.isdigit() or prev in ")%" or text[i - 2 : i].isalpha()
         if after.isupper():
             return two and (text[i + 2 : i + 3].islower() or text[i + 2 : i + 3].isspace())
-        return self.small and after.islower() and text[i - 3 : i].isalpha() and text[i + 1 : i + 3].isalpha() and "." not in text[lo:i]
+        return self.small and after.islower() and text[i - 3 : i].isalpha() and text[i + 1 : i + 3].isalpha() and text.find(".", lo, i) < 0
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
