@@ -151,7 +151,7 @@ class Gazetteer:
         """The first of the ranked names, unless it is too far or the second is as close."""
         if not ranked or ranked[0][1] < self.threshold:
             return None
-        if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < self.margin and ranked[0][1] < 0.9:
+        if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < (self.margin if ranked[0][1] < 0.9 else 1e-9):
             return None
         return ranked[0][0]
 

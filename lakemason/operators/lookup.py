@@ -46,6 +46,7 @@ def resolve_values(values: DataFrame, value: str, mapping: DataFrame, raw: str,
     pick = F.array_sort(F.collect_list(F.struct((-F.col("likeness")).alias("far"), "standard")))
     best = scored.groupBy("value").agg(pick.alias("ranked"))  # two rows a block at most
     first, second = F.col("ranked")[0], F.try_element_at("ranked", F.lit(2))
-    unclear = second.isNotNull() & second["standard"].isNotNull() & (second["far"] - first["far"] < limits.margin) & (first["far"] > -0.9)
+    gap = F.when(first["far"] > -0.9, F.lit(limits.margin)).otherwise(1e-9)
+    unclear = second.isNotNull() & second["standard"].isNotNull() & (second["far"] - first["far"] < gap)
     ok = (first["far"] <= -limits.threshold) & ~F.coalesce(unclear, F.lit(False))
     return best.select("value", F.when(ok, first["standard"]).alias("standard"), (-first["far"]).alias("likeness"))

@@ -72,13 +72,13 @@ def append_log(spark: SparkSession, path: str, entry: dict[str, str]) -> None:
 
 def read_pages(spark: SparkSession, path: str, number: str = r"search_(\d+)\.html") -> DataFrame:
     """(path, page, html) of cached pages, the page number from the file's name."""
-    pages = spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(path)
+    pages = spark.read.text(path, wholetext=True, pathGlobFilter="*.html")
     return pages.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_path", number, 1).try_cast("int").alias("page"), F.col("value").alias("html"))
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """(domain, url) of files with one address a line and an optional '# domain: ...' line before them."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     named = F.regexp_extract("value", r"(?m)^#\s*domain:\s*(\S+)", 1)
     from_file = F.regexp_extract("_metadata.file_name", r"^(.+?)(?:\.[^.]*)?$", 1)
     lines = whole.select(F.when(named != "", named).otherwise(F.regexp_replace(from_file, "_", ".")).alias("domain"), F.explode(F.split("value", r"\r?\n")).alias("url"))
