@@ -53,18 +53,23 @@ class TestItems:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
         hashes, docs, kinds = units([t or "" for _, t in items])
+        as_typed = units([t or "" for _, t in items], fold_case=False)[0]
+        capital = as_typed != hashes if len(as_typed) == len(hashes) else np.zeros(len(hashes), bool)
         cuts = np.searchsorted(docs, np.arange(len(items) + 1))
         seen: dict[int, int] = defaultdict(int)
         for k in range(len(items)):
             for h in set(hashes[cuts[k] : cuts[k + 1]].tolist()):
                 seen[h] += 1
-        rare = max(2, 0.02 * len(items))
+        # words with digits are facts; others tell by rarity, which needs many items, else by capitals
+        many = len(items) >= 50
+        rare = 0.02 * len(items) if many else 0
+        capital &= not many
         self.units, self.facts, self.index = [], [], defaultdict(list)
         for k in range(len(items)):
-            own, kind = hashes[cuts[k] : cuts[k + 1]], kinds[cuts[k] : cuts[k + 1]]
+            own, kind, named = (v[cuts[k] : cuts[k + 1]] for v in (hashes, kinds, capital))
             letters = (kind == 2).sum() * 2 > len(kind)
             # in a script without blanks the words in other letters, and numbers, are the facts
-            fact = (kind == 3) | ((kind == 1) & (letters | np.array([seen[h] <= rare for h in own.tolist()], bool)))
+            fact = (kind == 3) | ((kind == 1) & (letters | named | np.array([seen[h] <= rare for h in own.tolist()], bool)))
             self.units.append(own.tolist())
             self.facts.append(fact)
             for mask in LETTER_MASKS if letters else WORD_MASKS:

@@ -168,23 +168,23 @@ def learn_terms(texts: DataFrame) -> DataFrame:
         yield _counts(total, protected, n)
 
     sums = texts.select("text").mapInPandas(count, "term string, n_protected long, n_total long").groupBy("term").agg(F.sum("n_protected").alias("n_protected"), F.sum("n_total").alias("n_total"))
-    # the one row under "" holds the number of texts and stands for all of them
+    # the row under "" holds the number of all words, and of all texts
     return sums.where("n_protected > 0 or term = ''")
 
 
 def _counts(total: Counter, protected: Counter, n: int) -> pd.DataFrame:
     terms = list(total)
-    return pd.DataFrame({"term": ["", *terms], "n_protected": [0, *(protected[t] for t in terms)], "n_total": [n, *(total[t] for t in terms)]})
+    return pd.DataFrame({"term": ["", *terms], "n_protected": [sum(total.values()), *(protected[t] for t in terms)], "n_total": [n, *(total[t] for t in terms)]})
 
 
 def revealing_terms(texts: DataFrame) -> dict[str, float]:
     """term -> bits disclosed, for the terms above the thresholds: a bounded number (see LEAST)."""
     counts = cut_lineage(learn_terms(texts))
-    n_texts = sum(r["n_total"] for r in counts.where("term = ''").collect())
+    n_words, n_texts = counts.where("term = ''").agg(F.coalesce(F.sum("n_protected"), F.lit(0)), F.coalesce(F.sum("n_total"), F.lit(0))).first()
     least = max(LEAST, n_texts / PER_TEXTS)
     kept = counts.where((F.col("term") != "") & (F.col("n_protected") >= least) & (F.col("n_protected") >= DISCLOSURE * F.col("n_total"))).collect()
     everything = max(1, sum(r["n_protected"] for r in kept))
-    return {r["term"]: math.log2(r["n_protected"] / r["n_total"] * max(n_texts, 1) / everything) for r in kept}
+    return {r["term"]: math.log2(r["n_protected"] / r["n_total"] * n_words / everything) for r in kept}
 
 
 def details(text: str | None, terms: dict[str, float]) -> list[tuple[str, int, int]]:
