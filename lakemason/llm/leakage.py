@@ -26,12 +26,22 @@ WORD_MASKS = ("110101", "1101001", "101011", "1110001")
 LETTER_MASKS = ("111011010111", "1101101011101", "11101001101011")
 #: Items that a task holds at a time; more are worked off in blocks, each against all documents.
 BLOCK_ITEMS = 20_000
-#: Share of an item that a passage must span, of the passage that must agree, and of its facts.
-SPAN, AGREE, FACTS = 0.5, 0.84, 0.6
+#: Share of an item that a passage must span, of the passage that must agree, and of its facts;
+#: and what the last two must come to together.
+SPAN, AGREE, FACTS, TOGETHER = 0.5, 0.84, 0.6, 1.58
 #: Units that may be skipped within a passage, on either side.
 GAP = 4
 
 
+def _same(score: tuple[float, float, float]) -> bool:
+    """Is a passage of this (span, agreement, agreement of facts) the item's own, whatever its length?"""
+    return score[1] >= AGREE and score[2] >= FACTS and score[1] + score[2] >= TOGETHER
+
+
+def _better(score: tuple[float, float, float]) -> tuple[bool, float]:
+    return _same(score), score[0]
+
+
 def _seeds(hashes: np.ndarray, docs: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first unit's position) of all seeds of a mask that lie within one text."""
     n = len(hashes) - len(mask) + 1
@@ -95,7 +105,7 @@ class TestItems:
                 chains.append([(a, b, n)])
         best = (0.0, 0.0, 0.0)
         for chain in chains:
-            best = max(best, self._judge(chain, size, fact), key=lambda s: (s[1] >= AGREE and s[2] >= FACTS, s[0]))
+            best = max(best, self._judge(chain, size, fact), key=_better)
         return best
 
     @staticmethod
@@ -115,7 +125,7 @@ class TestItems:
                 if e > s:
                     n_fact = facts[e] - facts[s]
                     score = ((e - s) / size, (held[e] - held[s]) / (e - s), (right[e] - right[s]) / n_fact if n_fact else 1.0)
-                    best = max(best, score, key=lambda v: (v[1] >= AGREE and v[2] >= FACTS, v[0]))
+                    best = max(best, score, key=_better)
         return best
 
 
@@ -170,7 +180,7 @@ def _search(tests: TestItems, ids: list, texts: list[str]) -> list[tuple]:
         size = max(8, len(tests.units[k]) // 2)
         best = (0.0, 0.0, 0.0)
         for g in sorted(diagonals):
-            best = max(best, tests.best_passage(k, text, max(0, g * size + size)), key=lambda v: (v[1] >= AGREE and v[2] >= FACTS, v[0]))
-        if best[0] >= SPAN and best[1] >= AGREE and best[2] >= FACTS:
+            best = max(best, tests.best_passage(k, text, max(0, g * size + size)), key=_better)
+        if best[0] >= SPAN and _same(best):
             out.append((ids[d], tests.ids[k], *map(float, best)))
     return out
