@@ -157,7 +157,10 @@ def units(texts: Sequence[str], fold_case: bool = True) -> tuple[np.ndarray, np.
     codes, begins = code_points([(n.lower() if fold_case else n).translate(_KHMER_DIGITS) for n in (unicodedata.normalize("NFKC", t) for t in texts)])
     owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(codes))))
     kind = np.where(codes < 0x10000, _unit_table()[np.minimum(codes, 0xFFFF)], np.where((codes >= 0x20000) & (codes < 0x30000), 2, 0))
-    keep = kind != 3
+    digit = (codes >= 48) & (codes <= 57)
+    inner = np.zeros(len(codes), bool)  # 331,000 and 331000 are one number
+    inner[1:-1] = ((codes[1:-1] == 44) | (codes[1:-1] == 46)) & digit[:-2] & digit[2:]
+    keep = (kind != 3) & ~inner
     codes, kind, owner = codes[keep], kind[keep], owner[keep]
     word = kind == 1
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
