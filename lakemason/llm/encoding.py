@@ -2,7 +2,8 @@
 
 Method: content-defined chunk reuse. A rolling hash over code points cuts texts where their
 content says so, so that texts with common passages have common chunks. Every distinct chunk
-is encoded once; a document's ids are those of its chunks, laid end to end, with each join
+is encoded once, and travels as its digest and its ids in two bytes each, from which its text
+can be read back; a document's ids are those of its chunks, laid end to end, with each join
 repaired: the text around it is encoded anew from the last place before to the first place
 behind it where the tokenizer must cut whatever stands beside, and the ids between replaced.
 """
@@ -10,6 +11,7 @@ behind it where the tokenizer must cut whatever stands beside, and the ids betwe
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from lakemason.functions.textcodes import blocks, code_points, mix
 
 #: Window of the rolling hash; a cut where its low bits are zero, no chunk shorter or longer.
-WINDOW, MASK, SHORTEST, LONGEST = 16, 63, 24, 1024
+WINDOW, MASK, SHORTEST, LONGEST = 16, 255, 64, 4096
+#: Ids of vocabularies up to 65,536 entries fit two bytes.
+ID_TYPE = np.uint16
 # Fixed value: the pattern by which this family of tokenizers splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -65,7 +69,7 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     codes, begins = code_points(texts)
     c = mix(codes.astype(np.uint64))
     rolled = np.zeros(len(codes), np.uint64)
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, len(c))):
         rolled[k:] += np.left_shift(c[: len(c) - k], np.uint64(k)) if k else c
     at = np.flatnonzero(mix(rolled) & np.uint64(MASK) == 0) + 1
     for i, text in enumerate(texts):
@@ -127,44 +131,56 @@ def assemble(parts: list[tuple[str, list[int]]], encode) -> list[int]:
     return out + (encode(held) if held else [])
 
 
+def digest(chunk: str) -> bytes:
+    return hashlib.blake2b(chunk.encode(), digest_size=16).digest()
+
+
 def encode_corpus(documents: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every row, without special tokens.
+    """(row, doc_id, ids array<int>) of every row, without special tokens.
 
     Null and empty texts give an empty list; strings of special tokens in a text are ordinary
     text. Rows that repeat both id and text give one row. Chunks are shared by content over the
-    whole corpus: a chunk that a third of all documents holds is encoded once, counted before
-    the shuffle on the map side, and joined back with the adaptive planner's skew handling.
+    whole corpus: a chunk that a third of all documents holds is encoded once, collapsed on
+    the map side before the shuffle, and joined back with the adaptive planner's skew
+    handling. Each text is moved once, as chunks; all else that is moved is digests and ids.
     """
     given = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    numbered = given.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     kind = dict(given.dtypes)["doc_id"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["doc_id"].tolist()
-            rows, serial = batch["row"].tolist(), []
+            ids, rows, out = batch["doc_id"].tolist(), batch["row"].tolist(), []
             for at, texts in blocks(batch["text"].tolist()):
                 for i, parts in chunks(texts):
-                    serial += [(rows[at + i], ids[at + i], n, p) for n, p in enumerate(parts or [""])]
-            yield pd.DataFrame(serial, columns=["row", "doc_id", "n", "chunk"])
+                    out += [(rows[at + i], ids[at + i], n, digest(p)) for n, p in enumerate(parts or [""])]
+            yield pd.DataFrame(out, columns=["row", "doc_id", "n", "h"])
 
-    numbered = given.withColumn("row", F.xxhash64("doc_id", "text"))
-    repeated = numbered.groupBy("doc_id", "row").agg(F.first("text").alias("text"))
-    pieces = repeated.select("row", "doc_id", "text").mapInPandas(cut, f"row long, doc_id {kind}, n int, chunk string")
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, texts in blocks(batch["text"].tolist()):
+                own = {p for _, parts in chunks(texts) for p in parts or [""]}
+                yield pd.DataFrame({"chunk": sorted(own)})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = encoder(path)
         for batch in batches:
-            yield pd.DataFrame({"chunk": batch["chunk"], "ids": [tokens.encode_ordinary(c) for c in batch["chunk"]]})
+            held = batch["chunk"].tolist()
+            yield pd.DataFrame({"h": [digest(c) for c in held], "ids": [np.array(tokens.encode_ordinary(c), ID_TYPE).tobytes() for c in held]})
 
-    once = pieces.select("chunk").distinct().mapInPandas(encode, "chunk string, ids array<int>")
-    coded = pieces.join(once, "chunk")
-    # a document's chunks meet by document, sorted by place: one text's size, never a group of texts
-    whole = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "chunk", "ids"))).alias("parts"))
+    once = numbered.select("text").mapInPandas(contents, "chunk string").distinct().mapInPandas(encode, "h binary, ids binary")
+    placed = numbered.mapInPandas(pieces, f"row long, doc_id {kind}, n int, h binary")
+    coded = placed.join(once, "h")
+    # a document's chunks meet by document: one text's size, never a group of texts; rows that repeat one fall together
+    whole = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set(F.struct("n", "ids"))).alias("parts"))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = encoder(path)
         for batch in batches:
-            out = [assemble([(p["chunk"], list(p["ids"])) for p in parts], tokens.encode_ordinary) for parts in batch["parts"]]
+            out = []
+            for parts in batch["parts"]:
+                lists = [np.frombuffer(p["ids"], ID_TYPE).tolist() for p in parts]
+                out.append(assemble([(tokens.decode_bytes(ids).decode(), ids) for ids in lists], tokens.encode_ordinary) if len(lists) > 1 else lists[0])
             yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "ids": out})
 
     return whole.mapInPandas(join, f"row long, doc_id {kind}, ids array<int>")
