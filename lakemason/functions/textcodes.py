@@ -149,12 +149,18 @@ def _unit_table() -> np.ndarray:
     return _tables["unit"]
 
 
+def _plain(text: str, fold_case: bool) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_KHMER_DIGITS)
+    return text.lower() if fold_case else text
+
+
 def units(texts: Sequence[str], fold_case: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text's position, kind) of comparison units, case, marks and punctuation left out.
 
     Kind 1 is a word, 2 a letter of a script without blanks, 3 a word with a digit.
     """
-    codes, begins = code_points([(n.lower() if fold_case else n).translate(_KHMER_DIGITS) for n in (unicodedata.normalize("NFKC", t) for t in texts)])
+    codes, begins = code_points([_plain(t, fold_case) for t in texts])
     owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(codes))))
     kind = np.where(codes < 0x10000, _unit_table()[np.minimum(codes, 0xFFFF)], np.where((codes >= 0x20000) & (codes < 0x30000), 2, 0))
     digit = (codes >= 48) & (codes <= 57)

@@ -19,8 +19,8 @@ def value_counts(df: DataFrame, column: str, missing: str | None = None, share:
     counts = df.select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
     if not share:
         return counts
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    return counts.join(F.broadcast(total)).select("value", "n", F.round(100 * F.col("n") / F.col("total"), 2).alias("pct"))
+    total = df.where(value.isNotNull()).count()
+    return counts.select("value", "n", F.round(100 * F.col("n") / F.lit(max(total, 1)), 2).alias("pct"))
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:

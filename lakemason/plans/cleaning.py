@@ -181,7 +181,7 @@ def html_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Pages built from adverts, taken apart again: title, label pairs and links."""
     page = F.concat(F.lit("<html><head><title>x</title></head><body><h1>"), F.translate("title", "<>&", "   "), F.lit("</h1><dl><dt>Rooms</dt><dd>"), F.coalesce(F.col("bedrooms").cast("string"), F.lit("-")), F.lit("</dd></dl><a href='/a/"), F.col("listing_id"), F.lit("'>more</a></body></html>"))
     rows = _adverts(spark, sf).select("listing_id", page.alias("html"))
-    return rows.select("listing_id", H.title_column(F.col("html")).alias("title"), F.get(H.pairs_column(F.col("html")), F.lit(0))["value"].alias("rooms"), F.array_join(H.links(F.col("html"), "https://k24.example"), ",").alias("links"), T.word_count(F.col("html")).alias("words"))
+    return rows.select("listing_id", H.title_column(F.col("html")).alias("title"), F.get(H.pairs_column(F.col("html")), F.lit(0))["value"].alias("rooms"), F.array_join(H.links(F.col("html"), "https://k24.example"), ",").alias("links"))
 
 
 QUERIES = {
@@ -200,7 +200,13 @@ _REJ = "concat_ws('; ', CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE W
 _REV = "concat_ws('; ', CASE WHEN l_discount > 0.08 THEN 'deep_discount' END, CASE WHEN round(l_extendedprice / l_quantity, 2) > 2000 THEN 'dear_unit' END, CASE WHEN l_quantity > 45 THEN 'big' END)"
 _KIND = "concat_ws(',', CASE WHEN title ILIKE '%condo%' THEN 'Condo' END, CASE WHEN title ILIKE '%penthouse%' THEN 'Penthouse' END, CASE WHEN title ILIKE '%residence%' THEN 'Residence' END, CASE WHEN title ILIKE '%studio%' THEN 'Studio' END)"
 _LEVEL = "try_cast(nullif(regexp_extract(lower({0}), '{1} ([0-9]+)', 1), '') AS INTEGER)"
+_PARTS = "list_filter(list_transform(string_split(replace(replace(concat_ws(', ', address, district, city), chr(8203), ''), chr(65279), ''), ','), lambda x: trim(regexp_replace(x, '[\\s\\x{00A0}]+', ' ', 'g'))), lambda x: x <> '')"
+_SEGMENT = "({0} IS NOT NULL AND NOT regexp_matches({0}, '[0-9]{{3,}}') AND length({0}) < 20)"
+_S1, _S2 = _SEGMENT.format("a"), _SEGMENT.format("b")
 ORACLE = {
+    "places": f"SELECT listing_id, CASE WHEN len(p) >= 2 THEN p[-2] END AS district, CASE WHEN len(p) >= 3 THEN p[-3] END AS commune FROM (SELECT listing_id, {_PARTS} AS p FROM clean_khmer24)",
+    "url_shapes": f"SELECT CASE WHEN path = '' THEN '/' WHEN NOT {_S1} THEN '/*' WHEN b IS NULL THEN concat('/', a) WHEN NOT {_S2} THEN concat('/', a, '/*') WHEN n > 2 THEN concat('/', a, '/', b, '/*') ELSE concat('/', a, '/', b) END AS shape, count(*) AS n FROM (SELECT path, string_split(path, '/')[1] AS a, string_split(path, '/')[2] AS b, len(string_split(path, '/')) AS n FROM (SELECT trim(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/') AS path FROM documents WHERE url IS NOT NULL)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
+    "html_fields": "SELECT listing_id, nullif(trim(regexp_replace(translate(title, '<>&', '   '), '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')), '') AS title, coalesce(CAST(bedrooms AS VARCHAR), '-') AS rooms, concat('https://k24.example/a/', listing_id) AS links FROM clean_khmer24",
     "clean_titles": f"SELECT listing_id, {_CLEAN.format('title')} AS title, {_CLEAN.format('description')} AS description FROM clean_khmer24",
     "normalized_urls": "SELECT listing_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS url, nullif(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]+)$', 1), '') AS slug FROM clean_khmer24",
     "url_hints": "SELECT count(*) FILTER (WHERE contains(lower(url), '/adid-') OR contains(lower(url), 'property')) AS listing, count(*) FILTER (WHERE regexp_matches(url, '#|\\?')) AS with_fragment, count(*) FILTER (WHERE contains(url, '-')) AS dashed, count(url) AS n FROM clean_khmer24",

@@ -47,7 +47,7 @@ def _marked(filled: DataFrame, table_name: str, record: str, field: str, value:
     return filled.where(method.isin("carried", "interpolated")).select(F.lit(table_name).alias("table_name"), F.col(record).cast("string").alias("record_id"), F.lit(field).alias("field_name"), value.alias("filled_value"), method.alias("method"), distance.alias("distance"))
 
 
-def p7_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coordinate_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latitude and longitude of records whose project's complete records all agree."""
     rows = _coordinates(spark, sf_dir).where(F.col("project").isNotNull())
     micro = lambda c: F.round(F.col(c) * 1e6).cast("long")
@@ -65,7 +65,7 @@ def p7_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def p7_project_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _name_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project names that more than half of the named adverts of one address agree on."""
     rows = _adverts(spark, sf_dir).where(F.col("place").isNotNull())
     rows = rows.select("listing_id", "place", "t", F.col("project").alias("project_name"))
@@ -74,7 +74,7 @@ def p7_project_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(filled.where(F.col("project_name_filled") == F.col("agreed")), "clean_khmer24", "listing_id", "project_name", F.col("project_name_filled"))
 
 
-def p7_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _district_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Districts of adverts whose project's records, in both tables, all stand for the same one."""
     adverts = _adverts(spark, sf_dir).select(F.col("listing_id").alias("record_id"), "project", "t", "district", F.lit("clean_khmer24").alias("table_name"))
     records = _coordinates(spark, sf_dir).select(F.col("coord_id").cast("string").alias("record_id"), "project", "t", "district", F.lit("validated_project_coordinates").alias("table_name"))
@@ -90,14 +90,24 @@ def p7_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All filled values, each with the method and the distance to the record it came from."""
-    return p7_districts(spark, sf_dir).unionByName(p7_project_names(spark, sf_dir)).unionByName(p7_coordinates(spark, sf_dir))
+    return _district_fills(spark, sf_dir).unionByName(_name_fills(spark, sf_dir)).unionByName(_coordinate_fills(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_marked(spark, sf_dir).select("table_name", "record_id", "field_name", "filled_value")
 
 
-QUERIES = {"p3_found": p3_found, "p3_distances": p3_distances, "p7_found": p7_found, "p7_coordinates": p7_coordinates, "p7_project_names": p7_project_names}
+def p7_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled coordinates alone."""
+    return _coordinate_fills(spark, sf_dir).select("table_name", "record_id", "field_name", "filled_value")
+
+
+def p7_project_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled project names alone."""
+    return _name_fills(spark, sf_dir).select("table_name", "record_id", "field_name", "filled_value")
+
+
+QUERIES = {"p3_found": p3_found, "p3_distances": p3_distances, "p7_found": p7_found, "p7_marked": p7_marked, "p7_coordinates": p7_coordinates, "p7_project_names": p7_project_names}
 
 _NEAR = """
 WITH pts AS (
@@ -115,7 +125,22 @@ d AS (
   FROM pts JOIN lm ON abs(lm.la - pts.la) < 0.02 WHERE abs(pts.la) <= 90 AND NOT (pts.la = 0 AND pts.lo = 0))
 """
 _KEY = "nullif(lower(trim(regexp_replace({0}, '[\\s\\x{{00A0}}\\x{{3000}}]+', ' ', 'g'))), '')"
+_FILL = f"""
+WITH v AS (SELECT *, {_KEY.format("project_name")} AS k FROM validated_project_coordinates),
+u AS (SELECT k, min(round(latitude * 1e6)) AS la, min(round(longitude * 1e6)) AS lo FROM v WHERE k IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL
+  GROUP BY k HAVING count(DISTINCT (round(latitude * 1e6), round(longitude * 1e6))) = 1)
+SELECT 'validated_project_coordinates' AS table_name, CAST(coord_id AS VARCHAR) AS record_id, 'latitude' AS field_name, CAST(CAST(la AS BIGINT) AS VARCHAR) AS filled_value FROM v JOIN u USING (k) WHERE latitude IS NULL
+UNION ALL SELECT 'validated_project_coordinates', CAST(coord_id AS VARCHAR), 'longitude', CAST(CAST(lo AS BIGINT) AS VARCHAR) FROM v JOIN u USING (k) WHERE longitude IS NULL
+"""
+_NAMES = f"""
+WITH k AS (SELECT listing_id, max({_KEY.format("project_name")}) AS p, max({_KEY.format("address")}) AS a FROM clean_khmer24 WHERE listing_id IS NOT NULL GROUP BY 1),
+n AS (SELECT a, p, count(*) AS n FROM k WHERE a IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT a, p FROM (SELECT *, sum(n) OVER (PARTITION BY a) AS t FROM n) WHERE 2 * n > t)
+SELECT 'clean_khmer24' AS table_name, listing_id AS record_id, 'project_name' AS field_name, m.p AS filled_value FROM k JOIN m ON m.a = k.a WHERE k.p IS NULL
+"""
 ORACLE = {
+    "p7_coordinates": _FILL,
+    "p7_project_names": _NAMES,
     "p3_found": _NEAR + "SELECT coord_id, landmark_name FROM d WHERE metres <= 750",
     "p3_distances": _NEAR + "SELECT coord_id, landmark_name, round(metres, 2) AS metres FROM d WHERE metres <= 750",
 }

@@ -137,6 +137,7 @@ ORACLE = {
     "duplicate_rows": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM (SELECT md5(CAST(t AS VARCHAR)) AS h FROM (SELECT * EXCLUDE (bedroom_options) FROM clean_khmer24) t) GROUP BY h) t",
     "repeated_ids": "SELECT listing_id, count(*) AS n_rows, count(*) - 1 AS n_extra FROM clean_khmer24 WHERE listing_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "review_reasons": "SELECT reason, count(*) AS n FROM (SELECT trim(unnest(string_split(coalesce(review_reason, 'missing_review_reason'), ';'))) AS reason FROM clean_khmer24 WHERE record_status = 'review') WHERE reason <> '' GROUP BY 1",
+    "event_types": "SELECT key, CASE json_type(props, concat('$.', key)) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'integer' END AS kind, count(*) AS n FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2",
     "event_values": "SELECT event_type, count(*) AS n, count(k) AS n_k, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
     "defaults": "SELECT arg_min(city, (-n, city)) AS top_value, max(n) AS n, CAST(sum(n) AS BIGINT) AS total FROM (SELECT city, count(*) AS n FROM clean_khmer24 WHERE city IS NOT NULL GROUP BY 1) HAVING sum(n) >= 20 AND max(n) > 0.5 * sum(n)",
     "sampled_orders": "SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) WHERE p % 10 = 0",
