@@ -26,6 +26,7 @@ WORD_MASKS = ("110101", "1101001", "101011", "1110001")
 LETTER_MASKS = ("111011010111", "1101101011101", "11101001101011")
 #: Items that a task holds at a time; more are worked off in blocks, each against all documents.
 BLOCK_ITEMS = 20_000
+SIEVE = 1 << 22
 #: Share of an item that a passage must span, of the passage that must agree, and of its facts;
 #: and what the last two must come to together.
 SPAN, AGREE, FACTS, TOGETHER = 0.5, 0.84, 0.6, 1.58
@@ -89,6 +90,8 @@ class TestItems:
                     if fact[chosen].any() or not fact.any():
                         self.index[h].append((k, i))
         self.keys = np.array(sorted(self.index), np.uint64)
+        self.sieve = np.zeros(SIEVE, bool)  # most seeds of a document are told apart by their low bits
+        self.sieve[(self.keys % np.uint64(SIEVE)).astype(np.int64)] = True
 
     def best_passage(self, k: int, text: list[int], near: int) -> tuple[float, float, float]:
         """(span, agreement, agreement of facts) of the item's best passage around a position."""
@@ -168,8 +171,9 @@ def _search(tests: TestItems, ids: list, texts: list[str]) -> list[tuple]:
     spots: dict[tuple[int, int], set[int]] = defaultdict(set)
     for mask in WORD_MASKS + LETTER_MASKS:
         found, at = _seeds(hashes, docs, mask)
-        place = np.minimum(np.searchsorted(tests.keys, found), len(tests.keys) - 1)
-        for i in np.flatnonzero(tests.keys[place] == found):
+        likely = np.flatnonzero(tests.sieve[(found % np.uint64(SIEVE)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(tests.keys, found[likely]), len(tests.keys) - 1)
+        for i in likely[tests.keys[place] == found[likely]]:
             d = int(docs[at[i]])
             for k, j in tests.index[int(found[i])]:
                 # hits of one passage lie on about one diagonal

@@ -112,5 +112,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {"p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_redacted": p6_redacted, "p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
-ORACLE: dict[str, str] = {}
+def p2_plain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving values of the fields that need no reference list."""
+    return p2_found(spark, sf_dir).where("field_name <> 'district'")
+
+
+QUERIES = {"p2_plain_fields": p2_plain_fields, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_redacted": p6_redacted, "p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_classes": p5_classes, "p4_found": p4_found, "p4_unmatched": p4_unmatched}
+_HELD = """
+WITH m AS (SELECT duplicate_group_id AS g, replace(lower(trim(source)), '-', '_') AS s, bedrooms, unit_floor, try_cast(listing_updated_at AS TIMESTAMPTZ) AS u FROM clean_khmer24 WHERE duplicate_group_id IS NOT NULL),
+h AS (SELECT m.*, coalesce(priority, -2147483648) AS p FROM m LEFT JOIN source_priority sp ON lower(trim(sp.source)) = m.s),
+f AS (SELECT g, 'source' AS field_name, s AS v, p, u FROM h WHERE s <> '' UNION ALL SELECT g, 'bedrooms', CAST(bedrooms AS VARCHAR), p, u FROM h WHERE bedrooms IS NOT NULL UNION ALL SELECT g, 'unit_floor', CAST(unit_floor AS VARCHAR), p, u FROM h WHERE unit_floor IS NOT NULL)
+SELECT g AS duplicate_group_id, field_name, arg_max(v, (p, u)) AS field_value FROM f GROUP BY 1, 2
+"""
+ORACLE: dict[str, str] = {"p2_plain_fields": _HELD}
