@@ -160,3 +160,54 @@ def links(html: Column, base: str) -> Column:
 
 def plain_text(html: str | None) -> str | None:
     return None if html is None else unescape(" ".join(x for _, _, x in parse(html).cells if x))
+
+
+def best_record(text: str | None, weights: dict[str, int], least: int = 20, depth: int = 25) -> str | None:
+    """The JSON text of the object whose keys weigh most, from ``least`` on; the first on ties."""
+    try:
+        root = json.loads(text) if text else None
+    except ValueError:
+        return None
+    best, worth = None, least - 1
+    stack = [(root, 0)]
+    while stack:
+        node, level = stack.pop()
+        if level > depth:
+            continue
+        if isinstance(node, dict):
+            total = sum(w for k, w in weights.items() if node.get(k) not in (None, "", [], {}))
+            if total > worth:
+                best, worth = node, total
+        if isinstance(node, dict | list):
+            stack += [(v, level + 1) for v in reversed(list(node.values()) if isinstance(node, dict) else node)]
+    return None if best is None else json.dumps(best, ensure_ascii=False, sort_keys=True)
+
+
+def page_records(html: str | None) -> tuple[str, list[str]]:
+    """(method, records): from embedded JSON, else from label pairs, else nothing; the method is named."""
+    for block in re.findall(r"(?is)<script[^>]*(?:application/(?:ld\+)?json|id=[\"']__NEXT_DATA__)[^>]*>(.*?)</script>", html or ""):
+        found = find_records(block)
+        if found:
+            return "json", found
+    pairs = label_pairs(html)
+    return ("pairs", [json.dumps(pairs, ensure_ascii=False, sort_keys=True)]) if pairs else ("none", [])
+
+
+def page_records_column(html: Column) -> Column:
+    kind = T.StructType([T.StructField("method", T.StringType()), T.StructField("records", T.ArrayType(T.StringType()))])
+    return F.pandas_udf(lambda s: pd.DataFrame([page_records(x) for x in s], columns=["method", "records"]), kind)(html)
+
+
+def first_price(html: Column) -> Column:
+    """A page's price: JSON-LD, then meta tags, then the largest amount beside a currency sign in the body."""
+    ld = F.regexp_extract(html, r"(?is)application/ld\+json[^>]*>.*?\"price\"\s*:\s*\"?([0-9.]+)", 1).try_cast("double")
+    meta = F.regexp_extract(html, r"(?is)<meta[^>]*(?:price:amount|itemprop=[\"']price)[^>]*content=[\"']([0-9.]+)", 1).try_cast("double")
+    body = F.transform(F.regexp_extract_all(F.regexp_replace(html, "(?is)<script.*?</script>|<[^>]*>", " "), F.lit(r"\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)"), F.lit(1)), lambda v: F.regexp_replace(v, ",", "").try_cast("double"))
+    return F.coalesce(ld, meta, F.array_max(body))
+
+
+def spec_map(specs: Column) -> Column:
+    """type -> label from a JSON list of specifications [{type, label, shortLabel}], the first of a type wins."""
+    parsed = F.filter(F.from_json(specs, "array<struct<type: string, label: string, shortLabel: string>>"), lambda s: s["type"].isNotNull())
+    firsts = F.filter(parsed, lambda s, i: F.array_position(F.transform(parsed, lambda x: x["type"]), s["type"]) == i + 1)
+    return F.map_from_entries(F.transform(firsts, lambda s: F.struct(s["type"], F.coalesce(s["label"], s["shortLabel"]))))

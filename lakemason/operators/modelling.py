@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,7 +10,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakemason.operators.profile import exact_quantiles
@@ -100,7 +101,15 @@ def linear_factors(df: DataFrame, model: PipelineModel, numbers: list[str], word
 
 def importance(df: DataFrame) -> DataFrame:
     """(factor, mean_abs, mean_effect, share) over all rows' factors."""
-    from pyspark.sql import Window
-
     one = df.select(F.explode("factors").alias("f")).groupBy("f.factor").agg(F.avg(F.abs("f.effect")).alias("mean_abs"), F.avg("f.effect").alias("mean_effect"))
     return one.withColumn("share", F.col("mean_abs") / F.sum("mean_abs").over(Window.partitionBy()))  # one row a factor
+
+
+def save_model(model: PipelineModel, path: str, metadata: dict) -> None:
+    """The model and, beside it, one JSON row of metadata (features, medians, width of the interval)."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.getActiveSession().createDataFrame([(json.dumps(metadata, sort_keys=True),)], "metadata string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_model(spark, path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()[0])

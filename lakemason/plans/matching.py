@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakemason.functions import numeric as N
 from lakemason.functions import text as T
-from lakemason.operators import dedupe, joins, pairs, review
+from lakemason.operators import dedupe, evidence, joins, pairs, review, sequences
 from lakemason.sources.tables import table
 
 SIDES = ["district", "bedrooms", "bathrooms", "unit_floor", "price_usd", "size_m2", "property_type", "title_key"]
@@ -141,10 +141,32 @@ def manual_queue(spark: SparkSession, sf: str) -> DataFrame:
     return review.review_queue(rows, ["listing_id", "source", "title", "price_usd", "review_reason"], ["price_usd"], [F.col("listing_id")], "title").select("listing_id", "title", "review_reason", "manual_decision")
 
 
-QUERIES = {q.__name__: q for q in (first_adverts, repeated_coordinates, folded_adverts, all_adverts, kept_and_removed, coverage_gaps, merged_customers, latest_events, filled_names, blocked_pairs, scored_pairs, judged_pairs, pair_sources, band_duplicates, signature_groups, applied_corrections, manual_queue)}
+def numbered_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pair ids in order of price difference and ids."""
+    both = band_duplicates(spark, sf)
+    return sequences.pair_ids(both, [F.col("a"), F.col("b")]).select("a", "b", "pair_id")
+
+
+def advert_cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "clean_khmer24")
+    return evidence.cohorts(rows, {"no_price": F.col("price_usd").isNull(), "no_size": F.col("size_m2").isNull(), "cheap": F.col("price_usd") < 30000, "high_floor": F.col("unit_floor") > 30, "above_roof": F.col("unit_floor") > F.col("building_total_floors")})
+
+
+def district_triage(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.triage(table(spark, sf, "clean_khmer24"), "project_name", "district")
+
+
+def advert_violations(spark: SparkSession, sf: str) -> DataFrame:
+    found = evidence.violations(table(spark, sf, "clean_harbor"), "listing_id", ["title", "price_usd"], ["size_m2"], {"listing_type": ["sale", "sale/rent"]})
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+QUERIES = {q.__name__: q for q in (first_adverts, repeated_coordinates, folded_adverts, all_adverts, kept_and_removed, coverage_gaps, merged_customers, latest_events, filled_names, blocked_pairs, scored_pairs, judged_pairs, pair_sources, band_duplicates, signature_groups, applied_corrections, manual_queue, numbered_pairs, advert_cohorts, district_triage, advert_violations)}
 
 _ONE = "SELECT * FROM (SELECT listing_id, title, {cols}, '{t}' AS source, row_number() OVER (PARTITION BY listing_id ORDER BY title NULLS FIRST, price_usd NULLS FIRST) AS rn FROM {t} WHERE title IS NOT NULL) WHERE rn = 1"
 _COLS = "property_type, district, bedrooms, size_m2, price_usd"
+_BANDS = "WITH r AS (SELECT * FROM (SELECT listing_id, district, bedrooms, size_m2, price_usd, row_number() OVER (PARTITION BY listing_id ORDER BY price_usd NULLS FIRST, size_m2 NULLS FIRST) AS rn FROM clean_harbor) WHERE rn = 1 AND price_usd > 0), p AS (SELECT x.listing_id AS a, y.listing_id AS b FROM r x JOIN r y ON x.district = y.district AND x.bedrooms = y.bedrooms WHERE x.listing_id < y.listing_id AND abs(x.size_m2 - y.size_m2) <= 2.0 AND abs(x.price_usd - y.price_usd) <= 0.03 * greatest(x.price_usd, y.price_usd)) "
+_COHORTS = {"no_price": "price_usd IS NULL", "no_size": "size_m2 IS NULL", "cheap": "price_usd < 30000", "high_floor": "unit_floor > 30", "above_roof": "unit_floor > building_total_floors"}
 ORACLE = {
     "first_adverts": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE text IS NOT NULL) WHERE rn = 1",
     "repeated_coordinates": "SELECT coord_id, latitude IS NOT NULL AND longitude IS NOT NULL AND count(*) OVER (PARTITION BY latitude, longitude) > 1 AS is_repeated FROM validated_project_coordinates",
@@ -156,7 +178,11 @@ ORACLE = {
     "filled_names": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN n_name ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 'nation' ELSE 'original' END AS c_mktsegment_source FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
     "blocked_pairs": f"WITH r AS ({_ONE.format(t='clean_khmer24', cols=_COLS)} UNION ALL {_ONE.format(t='clean_harbor', cols=_COLS)}), k AS (SELECT listing_id, source, property_type, district, bedrooms, unnest([round_even(size_m2 / 5.0, 0) - 1, round_even(size_m2 / 5.0, 0), round_even(size_m2 / 5.0, 0) + 1]) AS band FROM r WHERE property_type IS NOT NULL AND district IS NOT NULL AND bedrooms IS NOT NULL AND size_m2 IS NOT NULL), f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY property_type, district, bedrooms, band) AS n FROM k) WHERE n BETWEEN 2 AND 300) SELECT DISTINCT x.listing_id AS a, y.listing_id AS b FROM f x JOIN f y USING (property_type, district, bedrooms, band) WHERE x.listing_id < y.listing_id AND x.source <> y.source",
     "pair_sources": "SELECT concat(least(x.n_name, y.n_name), ' <-> ', greatest(x.n_name, y.n_name)) AS pair, count(*) AS n FROM nation x JOIN nation y USING (n_regionkey) WHERE x.n_name <> y.n_name GROUP BY 1",
-    "band_duplicates": "WITH r AS (SELECT * FROM (SELECT listing_id, district, bedrooms, size_m2, price_usd, row_number() OVER (PARTITION BY listing_id ORDER BY price_usd NULLS FIRST, size_m2 NULLS FIRST) AS rn FROM clean_harbor) WHERE rn = 1 AND price_usd > 0) SELECT x.listing_id AS a, y.listing_id AS b FROM r x JOIN r y ON x.district = y.district AND x.bedrooms = y.bedrooms WHERE x.listing_id < y.listing_id AND abs(x.size_m2 - y.size_m2) <= 2.0 AND abs(x.price_usd - y.price_usd) <= 0.03 * greatest(x.price_usd, y.price_usd)",
+    "band_duplicates": _BANDS + "SELECT a, b FROM p",
+    "numbered_pairs": _BANDS + "SELECT a, b, printf('pair_%05d', row_number() OVER (ORDER BY a, b)) AS pair_id FROM p",
+    "advert_cohorts": " UNION ALL ".join(f"SELECT '{n}' AS cohort, count(*) FILTER (WHERE {c}) AS n FROM clean_khmer24" for n, c in _COHORTS.items()),
+    "district_triage": "WITH k AS (SELECT project_name, count(DISTINCT district) AS d FROM clean_khmer24 WHERE district IS NOT NULL AND project_name IS NOT NULL GROUP BY 1) SELECT CASE WHEN d = 1 THEN 'resolvable' WHEN d > 1 THEN 'ambiguous' ELSE 'unmapped' END AS verdict, count(*) AS n FROM clean_khmer24 LEFT JOIN k USING (project_name) WHERE district IS NULL GROUP BY 1",
+    "advert_violations": "SELECT problem, count(*) AS n FROM (SELECT 'missing_title' AS problem FROM clean_harbor WHERE title IS NULL OR trim(title) = '' UNION ALL SELECT 'missing_price_usd' FROM clean_harbor WHERE price_usd IS NULL UNION ALL SELECT 'not_positive_size_m2' FROM clean_harbor WHERE size_m2 <= 0 UNION ALL SELECT 'unknown_listing_type' FROM clean_harbor WHERE listing_type NOT IN ('sale', 'sale/rent') UNION ALL SELECT 'repeated' FROM clean_harbor GROUP BY listing_id HAVING count(*) > 1) GROUP BY 1",
     "signature_groups": "SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM clean_khmer24 WHERE title IS NOT NULL AND price_usd IS NOT NULL AND size_m2 IS NOT NULL GROUP BY title, price_usd, size_m2, bedrooms, district) GROUP BY 1",
     "applied_corrections": "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 14 = 0 THEN 9 ELSE s_nationkey END AS INTEGER) AS s_nationkey, CASE WHEN s_suppkey % 7 = 0 THEN 12.5 ELSE s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 7 = 0 THEN concat('s_acctbal: ', CAST(s_acctbal AS VARCHAR), ' -> 12.5', CASE WHEN s_suppkey % 14 = 0 THEN concat('; s_nationkey: ', CAST(s_nationkey AS VARCHAR), ' -> 9') ELSE '' END) ELSE '' END AS notes FROM supplier",
     "manual_queue": "SELECT listing_id, title, review_reason, CAST(NULL AS VARCHAR) AS manual_decision FROM clean_harbor WHERE record_status = 'review'",
