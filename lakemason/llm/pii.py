@@ -73,11 +73,19 @@ _TRIGGERS = _TITLES | _CUES | _FOR
 _NO_NAMES = frozenset("the our your this phone tel email mail contact owner seller condo penthouse street road whatsapp telegram villa house passport boulevard lane borey".split())
 
 
+def ascii_digits(text: str) -> str:
+    if text.isascii() or not _OTHER_DIGIT.search(text):
+        return text
+    return _OTHER_DIGIT.sub(lambda m: str(unicodedata.digit(m[0])), text)
+
+
+def phones(plain: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _PHONE.finditer(plain) if not _CODE_BEFORE.search(plain, max(0, m.start() - 14), m.start())]
+
+
 def fixed_details(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with ASCII digits, spans of mail addresses, identity numbers, phones and addresses)."""
-    plain = text
-    if not text.isascii() and _OTHER_DIGIT.search(text):
-        plain = _OTHER_DIGIT.sub(lambda m: str(unicodedata.digit(m[0])), text)
+    plain = ascii_digits(text)
     spans: list[tuple[int, int, str]] = []
 
     def add(start: int, end: int, kind: str) -> None:
@@ -95,9 +103,8 @@ def fixed_details(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     if " on file" in low or ", name" in low:
         for m in _ID_TAIL.finditer(plain):
             add(m.start(1), m.end(1), "id_number")
-    for m in _PHONE.finditer(plain):
-        if not _CODE_BEFORE.search(plain, max(0, m.start() - 14), m.start()):
-            add(m.start(), m.end(), "phone")
+    for start, end in phones(plain):
+        add(start, end, "phone")
     if any(hint in low for hint in _ADDRESS_HINTS):
         for m in _ADDRESS.finditer(plain):
             add(m.start(), m.end(), "address")
@@ -160,7 +167,8 @@ def learn_terms(texts: DataFrame) -> DataFrame:
                 total.update(words)
                 if not text.isupper():
                     places = [] if _TRIGGERS.isdisjoint(words) else _words(text)
-                    for s, e in cued_names(text, places, fixed_details(text)[1]):
+                    beside = [(s, e, "phone") for s, e in phones(ascii_digits(text))]
+                    for s, e in cued_names(text, places, beside):
                         protected.update(w.lower() for w, _, _ in _words(text[s:e]) if len(w) > 1)
             if len(total) > 500_000:
                 yield _counts(total, protected, n)
