@@ -110,7 +110,7 @@ def outliers(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
     q1, q3 = exact_quantiles(df, column, (0.25, 0.75))
     low, high = (None, None) if q1 is None else (q1 - reach * (q3 - q1), q3 + reach * (q3 - q1))
     beyond = (F.col(column) < F.lit(low)) | (F.col(column) > F.lit(high))
-    return df.agg(F.lit(column).alias("column_name"), F.round(F.lit(low).cast("double"), 4).alias("low_fence"), F.round(F.lit(high).cast("double"), 4).alias("high_fence"), F.count_if(beyond).alias("n_outliers"), F.round(100 * F.count_if(beyond) / F.count(column), 2).alias("pct"))
+    return df.agg(F.lit(column).alias("column_name"), F.round(F.lit(low).cast("double"), 4).alias("low_fence"), F.round(F.lit(high).cast("double"), 4).alias("high_fence"), F.count_if(beyond).alias("n_outliers"), F.round(F.try_divide(100 * F.count_if(beyond), F.count(column)), 2).alias("pct"))
 
 
 def cap_at_quantile(df: DataFrame, column: str, share: float) -> DataFrame:
