@@ -247,3 +247,14 @@ def short_usd(c: Column) -> Column:
 def ordered_reasons(*reasons: Column) -> Column:
     """Distinct non-null texts in first-seen order, joined by '; '; null when there are none."""
     return blank_to_null(F.array_join(F.array_distinct(F.array_compact(F.array(*reasons))), "; "))
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first text that isn't blank."""
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in columns])
+
+
+def phrase_rules(places: dict[str, str], templates: list[str]) -> list[tuple[str, str]]:
+    """Rules for first_label and all_labels: a place's pattern within phrases such as 'located in {}'."""
+    phrases = "|".join(t.replace("{}", "(?:{0})") for t in templates)
+    return [(phrases.replace("{0}", pattern), label) for pattern, label in places.items()]

@@ -206,3 +206,22 @@ def systematic_sample(df: DataFrame, order: str, step: int) -> DataFrame:
     sizes = sizes.select("_s", (F.sum("_m").over(Window.orderBy("_s")) - F.col("_m")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_s").orderBy(order)) + F.col("_before") - 1
     return sliced.join(sizes, "_s").withColumn("_p", place).where(F.col("_p") % step == 0).drop("_s", "_before", "_p")
+
+
+def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, n, low, q1, median, q3, high) with exact quartiles."""
+    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    one = df.where(F.col(column).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.min(column).alias("low"), q.alias("q"), F.max(column).alias("high"))
+    return one.select(group, "n", "low", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high")
+
+
+def distribution_by(df: DataFrame, group: str, groups: Sequence[str], column: str) -> DataFrame:
+    """(value, one share in percent for each group): distributions side by side, 0 where a group lacks a value."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(*[F.count_if(F.col(group) == g).alias(f"_{i}") for i, g in enumerate(groups)])
+    totals = df.where(F.col(column).isNotNull()).agg(*[F.count_if(F.col(group) == g) for g in groups]).first()
+    return counts.select("value", *[F.round(100 * F.col(f"_{i}") / max(totals[i], 1), 2).alias(g) for i, g in enumerate(groups)])
+
+
+def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """n rows drawn by a hash of their key: the same on every run and cluster, without a full sort."""
+    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)

@@ -184,11 +184,18 @@ def html_fields(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("listing_id", H.title_column(F.col("html")).alias("title"), F.get(H.pairs_column(F.col("html")), F.lit(0))["value"].alias("rooms"), F.array_join(H.links(F.col("html"), "https://k24.example"), ",").alias("links"))
 
 
+def stated_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Districts named in a strong phrase of the description."""
+    places = {"toul vihear thmey": "Toul Vihear Thmey", "chamkar rumdoul": "Chamkar Rumdoul", "boeung sorya [123]": "Boeung Sorya"}
+    found = T.all_labels(F.coalesce("title", F.lit("")), T.phrase_rules(places, ["sale {}", "view {}", "- {}", "{} .{0,20}urgent"]))
+    return _adverts(spark, sf).groupBy(T.match_status(found).alias("status"), F.array_join(found, ",").alias("found")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         clean_titles, normalized_urls, url_shapes, url_hints, listing_labels, recognised_types, all_kinds, price_texts, title_sizes, title_rooms, text_floors, marked_amounts, level_last, signatures, title_keys, excerpts, group_ids,
-        codes, places, transactions, district_labels, unit_price_check, line_rules, rule_reasons, recovered_rooms, resolved_floor, recovered_districts, geocode_levels, coordinate_checks, project_coordinates, html_fields,
+        codes, places, transactions, district_labels, unit_price_check, line_rules, rule_reasons, recovered_rooms, resolved_floor, recovered_districts, geocode_levels, coordinate_checks, project_coordinates, html_fields, stated_places,
     )
 }
 
@@ -203,7 +210,9 @@ _LEVEL = "try_cast(nullif(regexp_extract(lower({0}), '{1} ([0-9]+)', 1), '') AS
 _PARTS = "list_filter(list_transform(string_split(replace(replace(concat_ws(', ', address, district, city), chr(8203), ''), chr(65279), ''), ','), lambda x: trim(regexp_replace(x, '[\\s\\x{00A0}]+', ' ', 'g'))), lambda x: x <> '')"
 _SEGMENT = "({0} IS NOT NULL AND NOT regexp_matches({0}, '[0-9]{{3,}}') AND length({0}) < 20)"
 _S1, _S2 = _SEGMENT.format("a"), _SEGMENT.format("b")
+_STATED = "concat_ws(','" + "".join(f", CASE WHEN regexp_matches(coalesce(lower(title), ''), '" + "|".join(t.replace("{}", f"(?:{p})") for t in ("sale {}", "view {}", "- {}", "{} .{0,20}urgent")).replace("'", "''") + f"') THEN '{n}' END" for p, n in (("boeung sorya [123]", "Boeung Sorya"), ("chamkar rumdoul", "Chamkar Rumdoul"), ("toul vihear thmey", "Toul Vihear Thmey"))) + ")"
 ORACLE = {
+    "stated_places": f"SELECT CASE WHEN f = '' THEN 'none' WHEN contains(f, ',') THEN 'ambiguous' ELSE 'single' END AS status, f AS found, count(*) AS n FROM (SELECT {_STATED} AS f FROM clean_khmer24) GROUP BY ALL",
     "places": f"SELECT listing_id, CASE WHEN len(p) >= 2 THEN p[-2] END AS district, CASE WHEN len(p) >= 3 THEN p[-3] END AS commune FROM (SELECT listing_id, {_PARTS} AS p FROM clean_khmer24)",
     "url_shapes": f"SELECT CASE WHEN path = '' THEN '/' WHEN NOT {_S1} THEN '/*' WHEN b IS NULL THEN concat('/', a) WHEN NOT {_S2} THEN concat('/', a, '/*') WHEN n > 2 THEN concat('/', a, '/', b, '/*') ELSE concat('/', a, '/', b) END AS shape, count(*) AS n FROM (SELECT path, string_split(path, '/')[1] AS a, string_split(path, '/')[2] AS b, len(string_split(path, '/')) AS n FROM (SELECT trim(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/') AS path FROM documents WHERE url IS NOT NULL)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
     "html_fields": "SELECT listing_id, nullif(trim(regexp_replace(translate(title, '<>&', '   '), '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')), '') AS title, coalesce(CAST(bedrooms AS VARCHAR), '-') AS rooms, concat('https://k24.example/a/', listing_id) AS links FROM clean_khmer24",

@@ -109,7 +109,19 @@ def language_counts(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy(F.coalesce(F.lower(F.left("lang", F.lit(2))), F.lit("missing")).alias("lang")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("blank"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {q.__name__: q for q in (source_counts, status_share, field_coverage, coverage_by_status, number_ranges, describe_lines, district_object, price_outliers, skewness, pearson, spearman, status_by_type, nation_mode, project_districts, region_nations, duplicate_rows, repeated_ids, review_reasons, event_types, event_values, defaults, sampled_orders, language_counts)}
+def price_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.box_stats(table(spark, sf, "clean_khmer24"), "property_type", "price_usd")
+
+
+def rooms_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.distribution_by(table(spark, sf, "clean_khmer24"), "property_type", ["Condo", "Penthouse"], "bedrooms")
+
+
+def drawn_customers(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.sample_rows(table(spark, sf, "customer"), 100, ["c_custkey"]).select("c_custkey", "c_mktsegment")
+
+
+QUERIES = {q.__name__: q for q in (source_counts, status_share, field_coverage, coverage_by_status, number_ranges, describe_lines, district_object, price_outliers, skewness, pearson, spearman, status_by_type, nation_mode, project_districts, region_nations, duplicate_rows, repeated_ids, review_reasons, event_types, event_values, defaults, sampled_orders, language_counts, price_boxes, rooms_by_type, drawn_customers)}
 
 _COVER = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, count({c}) AS non_missing, round(100.0 * count({c}) / count(*), 1) AS pct FROM clean_khmer24" for c in FIELDS)
 _RANGES = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, round(CAST(min({c}) AS DOUBLE), 2) AS low, round(CAST(max({c}) AS DOUBLE), 2) AS high, round(avg({c}), 2) AS mean FROM clean_khmer24" for c in NUMBERS)
@@ -119,6 +131,8 @@ _FENCES = " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(lo, 4) AS low_
 _PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM clean_khmer24" for a, b in [("price_usd", "price_usd"), ("price_usd", "size_m2"), ("price_usd", "bedrooms"), ("size_m2", "size_m2"), ("size_m2", "bedrooms"), ("bedrooms", "bedrooms")])
 _AVG_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
 ORACLE = {
+    "price_boxes": "SELECT property_type, count(*) AS n, min(price_usd) AS low, round(quantile_cont(price_usd, 0.25), 4) AS q1, round(quantile_cont(price_usd, 0.5), 4) AS median, round(quantile_cont(price_usd, 0.75), 4) AS q3, max(price_usd) AS high FROM clean_khmer24 WHERE price_usd IS NOT NULL GROUP BY 1",
+    "rooms_by_type": "SELECT CAST(bedrooms AS VARCHAR) AS value, " + ", ".join(f"round(100.0 * count(*) FILTER (WHERE property_type = '{t}') / (SELECT greatest(count(*), 1) FROM clean_khmer24 WHERE bedrooms IS NOT NULL AND property_type = '{t}'), 2) AS \"{t}\"" for t in ("Condo", "Penthouse")) + " FROM clean_khmer24 WHERE bedrooms IS NOT NULL GROUP BY 1",
     "source_counts": "SELECT coalesce(source, 'Missing') AS value, count(*) AS n FROM clean_khmer24 GROUP BY 1",
     "status_share": "SELECT record_status AS value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM clean_khmer24 WHERE record_status IS NOT NULL GROUP BY 1",
     "field_coverage": _COVER,
