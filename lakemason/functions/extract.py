@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lakemason.functions.text import LEFT, RIGHT, clean_text, matched
+from lakemason.functions.text import LEFT, RIGHT, bound, clean_text, matched
 
 SQFT_M2 = 0.092903
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
@@ -35,19 +35,17 @@ def ascii_digits(c: Column) -> Column:
 
 def first_in_range(c: Column, patterns: list[str], low: int, high: int) -> Column:
     """struct(value, raw) of the first pattern whose first match is in range; null if none is."""
-    text = ascii_digits(clean_text(c))
 
-    def one(pattern: str) -> Column:
-        value = matched(text, f"(?i){pattern}", 1).try_cast("int")
-        return F.when(value.between(low, high), F.struct(value.alias("value"), F.regexp_extract(text, f"(?i){pattern}", 0).alias("raw")))
+    def one(text: Column, pattern: str) -> Column:
+        raw = lambda v: F.struct(v.alias("value"), F.regexp_extract(text, f"(?i){pattern}", 0).alias("raw"))
+        return bound(matched(text, f"(?i){pattern}", 1).try_cast("int"), lambda v: F.when(v.between(low, high), raw(v)))
 
-    return F.coalesce(*[one(p) for p in patterns])
+    return bound(ascii_digits(clean_text(c)), lambda text: F.coalesce(*[one(text, p) for p in patterns]))
 
 
 def bedrooms(c: Column) -> Column:
-    text = clean_text(c)
-    studio = F.struct(F.lit(0).alias("value"), matched(text, rf"(?i){LEFT}studio{RIGHT}").alias("raw"))
-    return F.coalesce(first_in_range(c, BEDROOMS, 0, 15), F.when(studio["raw"].isNotNull(), studio))
+    studio = lambda raw: F.when(raw.isNotNull(), F.struct(F.lit(0).alias("value"), raw.alias("raw")))
+    return F.coalesce(first_in_range(c, BEDROOMS, 0, 15), bound(matched(clean_text(c), rf"(?i){LEFT}studio{RIGHT}"), studio))
 
 
 def bathrooms(c: Column) -> Column:

@@ -27,6 +27,11 @@ TYPE_LABELS = {
 }
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with an expensive value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 

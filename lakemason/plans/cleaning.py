@@ -139,8 +139,9 @@ def rule_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recovered_rooms(spark: SparkSession, sf: str) -> DataFrame:
-    r = resolve.recover(F.col("bedrooms"), X.bedrooms(F.col("title")), X.bedrooms(F.col("description")))
-    return _adverts(spark, sf).groupBy(r["source"].alias("source"), r["confidence"].alias("confidence"), r["conflict"].isNotNull().alias("conflicting")).agg(F.count("*").alias("n"), F.sum(r["value"]).alias("rooms"))
+    rows = _adverts(spark, sf).select("bedrooms", X.bedrooms(F.col("title")).alias("t"), X.bedrooms(F.col("description")).alias("d"))
+    rows, r = rows.select(resolve.recover(F.col("bedrooms"), F.col("t"), F.col("d")).alias("r")), F.col("r")
+    return rows.groupBy(r["source"].alias("source"), r["confidence"].alias("confidence"), r["conflict"].isNotNull().alias("conflicting")).agg(F.count("*").alias("n"), F.sum(r["value"]).alias("rooms"))
 
 
 def resolved_floor(spark: SparkSession, sf: str) -> DataFrame:
