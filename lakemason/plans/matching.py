@@ -95,12 +95,15 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
     eq = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
     sim = F.col("title_sim")
-    weights = [
+    plain = [
         ("same_type", eq("property_type"), 5.0), ("same_district", eq("district"), 15.0), ("same_bedrooms", eq("bedrooms"), 15.0), ("same_bathrooms", eq("bathrooms"), 5.0),
         ("near_floor", F.abs(F.col("unit_floor_a") - F.col("unit_floor_b")) <= 1, 10.0), ("price_near", pairs.close("price_usd_a", "price_usd_b", 0.08), 10.0), ("price_close", pairs.close("price_usd_a", "price_usd_b", 0.03), 10.0),
-        ("size_near", pairs.close("size_m2_a", "size_m2_b", 0.08, 5.0), 10.0), ("size_close", pairs.close("size_m2_a", "size_m2_b", 0.03, 2.0), 10.0), ("title_high", sim >= 0.84, 10.0), ("title_medium", sim >= 0.68, 8.0), ("title_low", sim >= 0.5, 7.0),
+        ("size_near", pairs.close("size_m2_a", "size_m2_b", 0.08, 5.0), 10.0), ("size_close", pairs.close("size_m2_a", "size_m2_b", 0.03, 2.0), 10.0),
     ]
-    return pairs.score(_scored(spark, sf), weights, 60.0, [(85.0, "high"), (70.0, "medium")]).select("a", "b", "score", "confidence", "title_sim")
+    titles = [("title_high", sim >= 0.84, 10.0), ("title_medium", sim >= 0.68, 8.0), ("title_low", sim >= 0.5, 7.0)]
+    # a pair that its title can't lift over the limit is dropped before titles are compared
+    within_reach = sum((F.when(N.sure(c), F.lit(w)).otherwise(0.0) for _, c, w in plain), F.lit(25.0)) >= 60.0
+    return pairs.score(_scored(spark, sf).where(within_reach), plain + titles, 60.0, [(85.0, "high"), (70.0, "medium")]).select("a", "b", "score", "confidence", "title_sim")
 
 
 def judged_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,7 +42,8 @@ def split_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf: str):
-    rows, _ = M.impute(_rows(spark, sf).withColumn("part", M.split_label(F.concat_ws("-", "l_orderkey", "l_linenumber"))), NUMBERS, WORDS)
+    held = _rows(spark, sf).withColumn("part", M.split_label(F.concat_ws("-", "l_orderkey", "l_linenumber"))).persist()  # read by medians, fit and scores
+    rows, _ = M.impute(held, NUMBERS, WORDS)
     model = M.pipeline(NUMBERS, WORDS, "label", "linear", regParam=0.0).fit(rows.where("part = 'train'"))
     return rows, model, model.transform(rows)
 
