@@ -34,7 +34,7 @@ SPANS = "array<struct<pii_type: string, span_start: int, span_end: int>>"
 _OTHER_DIGIT = re.compile("[០-៩０-９]")
 #: Everything in ASCII but letters parts words.
 _PARTS = {i: " " for i in range(128) if not chr(i).isalpha()}
-_S = r"[ .\-/ ]"
+_S = r"[ .\-/\u00a0]"
 _N = "[0-9O]"
 _PHONE = re.compile(  # begins with one of four characters, which the search skips to
     rf"[(+0O](?<![\w+].)(?:"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemason.llm.canonical import UNMATCHED, canonicalise, unmatched_report
+from lakemason.llm.canonical import MentionGazetteer, canonicalise, unmatched_report
 from lakemason.llm.encoding import encode_corpus, tokenizer_folder
 from lakemason.llm.leakage import find_leaks
 from lakemason.llm.matching import match
@@ -35,8 +35,6 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lakemason.llm.canonical import MentionGazetteer
-
     rows = table(spark, sf_dir, "clean_khmer24").where(F.col("duplicate_group_id").isNotNull())
     rows = rows.withColumn("plain", F.regexp_replace(F.lower(F.trim("source")), "-", "_"))
     names = resolve_values(rows, "district", table(spark, sf_dir, "district_mapping"), "raw_name", "standard_name", MentionGazetteer)
@@ -89,7 +87,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adverts with typed placeholders instead of personal details."""
-    return sanitise(*(lambda r, t: (r, ["title", "description"], t))(*_texts_with_details(spark, sf_dir)))
+    rows, terms = _texts_with_details(spark, sf_dir)
+    return sanitise(rows, ["title", "description"], terms)
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

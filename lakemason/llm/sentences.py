@@ -29,7 +29,7 @@ BRACKETS = frozenset("(（[【《")
 STRONG = frozenset("!?！？。។៕॥।؟")
 _EVENT = re.compile(r"\n|[.!?。！？។៕…॥।؟]+|[\"“”«»„「」『』‹›()（）\[\]【】《》]")
 _LIST = re.compile(r"(?:[-•*–·▪◦]|\d{1,3}[.)]|[A-Za-z]\)|\((?:\d{1,2}|[a-z])\)|[ivx]{1,4}\))[ \t]+(?=\S)")
-_SPACE = re.compile(r"[\s​﻿]*")
+_SPACE = re.compile(r"[\s\u200b\ufeff]*")
 _ADDRESS = re.compile(r"www\.|://|@")
 _SAID = re.compile("问|说|道|答|喊|叫|asked|said|wrote|replied")
 _SMALL_START, _CAPITAL_START = (re.compile(rf"[a-z]{{3,}}\.\s+[{c}]") for c in ("a-z", "A-Z"))
@@ -115,7 +115,7 @@ class Automaton:
     def _end(self, at: int) -> int:
         """Close the unit before ``at``; the next begins at the next that is no blank."""
         end = at
-        while end > self.start and (self.text[end - 1].isspace() or self.text[end - 1] in "​﻿"):
+        while end > self.start and (self.text[end - 1].isspace() or self.text[end - 1] in "\u200b\ufeff"):
             end -= 1
         if end > self.start:
             self.units.append((self.start, end))
@@ -175,7 +175,7 @@ class Automaton:
         k = j
         while k < self.size:
             ahead = k
-            if text[k] in "   " and k + 1 < self.size and text[k + 1] == "»" and self.open and self.open[-1][0] == "»":
+            if text[k] in " \u00a0\u202f" and k + 1 < self.size and text[k + 1] == "»" and self.open and self.open[-1][0] == "»":
                 ahead = k + 1
             c = text[ahead]
             at = next((n for n in range(len(self.open) - 1, -1, -1) if c in self.open[n][0]), None)
