@@ -10,7 +10,7 @@ import regex
 
 # Digits of the Khmer script, and marks without width.
 KHMER_DIGITS = str.maketrans("០១២៣៤៥៦៧៨៩", "0123456789")
-ZERO_WIDTH = regex.compile("[​‌‍⁠﻿­]")
+ZERO_WIDTH = regex.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
 #: Words that say what kind of place follows, or in which city it lies.
 PLACE_WORDS = frozenset("khan sangkat district area city phnom penh near around zone ខណ្ឌ សង្កាត់ ភ្នំពេញ រាជធានី".split())
@@ -25,7 +25,7 @@ def fold(text: str) -> str:
     """NFKC, no zero-width marks, ASCII digits, no accents on Latin letters, lower case."""
     text = ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text)).translate(KHMER_DIGITS)
     parts = unicodedata.normalize("NFD", text)
-    return unicodedata.normalize("NFC", "".join(c for c in parts if not "̀" <= c <= "ͯ")).lower()
+    return unicodedata.normalize("NFC", "".join(c for c in parts if not "\u0300" <= c <= "\u036f")).lower()
 
 
 def name_words(text: str, camel: bool = True) -> list[str]:

@@ -43,7 +43,7 @@ def matched(c: Column, pattern: str, group: int = 0) -> Column:
 
 def clean_text(c: Column) -> Column:
     """No-break spaces become blanks, zero-width marks go, runs of white space become one blank."""
-    plain = F.translate(c, " ​﻿", " ")
+    plain = F.translate(c, "\u00a0\u200b\ufeff", " ")
     return blank_to_null(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")))
 
 

@@ -15,7 +15,7 @@ NEAR_M = 750.0
 
 def name_key(name: Column) -> Column:
     """Lower case, single blanks; null for a blank name."""
-    key = F.lower(F.trim(F.regexp_replace(F.translate(name, " 　", "  "), r"\s+", " ")))
+    key = F.lower(F.trim(F.regexp_replace(F.translate(name, "\u00a0\u202f\u3000", "   "), r"\s+", " ")))
     return F.when(key != "", key)
 
 

@@ -26,7 +26,7 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str,
 def read_text_csv(spark: SparkSession, path: str, required: list[str] = ()) -> DataFrame:
     """CSV with a header, all columns text, headers trimmed and in small letters, null as ''; missing columns raise."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    out = raw.toDF(*[c.strip().lstrip("﻿").lower() for c in raw.columns])
+    out = raw.toDF(*[c.strip().lstrip("\ufeff").lower() for c in raw.columns])
     lacking = [c for c in required if c not in out.columns]
     if lacking:
         raise ValueError(f"{path} lacks columns {lacking}")

@@ -34,7 +34,7 @@ def test_json_and_csv(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"id": ')
     with pytest.raises(Exception):  # noqa: B017
         files.read_json_array(spark, str(tmp_path / "b.json"), "id string").collect()
-    (tmp_path / "c.csv").write_text("﻿ID,\tName \n1,\tx\n\t\n2,\n")
+    (tmp_path / "c.csv").write_text("\ufeffID,\tName \n1,\tx\n\t\n2,\n")
     df = files.read_text_csv(spark, str(tmp_path / "c.csv"), ["id", "name"])
     assert [tuple(r) for r in df.collect()][:1] == [("1", "x")] and df.columns == ["id", "name"]
     with pytest.raises(ValueError, match="lacks"):

@@ -9,7 +9,7 @@ from lakemason.functions import text as T
 @pytest.mark.parametrize(
     ("function", "given", "wanted"),
     [
-        (T.clean_text, " a b​\n", "a b"), (T.clean_text, "   ", None), (T.clean_text, None, None),
+        (T.clean_text, " a\u00a0b\u200b\n", "a b"), (T.clean_text, "   ", None), (T.clean_text, None, None),
         (T.normalize_url, "HTTPS://Example.com/Property/1/?utm_source=x#top", "https://example.com/Property/1"), (T.normalize_url, None, None),
         (T.listing_type, "For Sale or Rent", "sale/rent"), (T.listing_type, "Lease", "rent"), (T.listing_type, "Buy now", "sale"), (T.listing_type, "Auction", "auction"),
         (T.type_label, "condominium", "Condo"), (T.type_label, "2br-unit", "2Br-Unit"),
