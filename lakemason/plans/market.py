@@ -69,7 +69,7 @@ def price_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return histogram(table(spark, sf, "lineitem"), "l_extendedprice", 40, 0.0, 120_000.0)
 
 
-def p99_cap(spark: SparkSession, sf: str) -> DataFrame:
+def capped_prices(spark: SparkSession, sf: str) -> DataFrame:
     rows = cap_at_quantile(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), "l_extendedprice", 0.99)
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.max("l_extendedprice"), 2).alias("highest"))
 
@@ -88,7 +88,7 @@ def monthly_revenue(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-QUERIES = {q.__name__: q for q in (market_summary, market_filtered, market_overview, district_market, type_summary, price_bands, price_histogram, p99_cap, top_orders, segment_share, monthly_revenue)}
+QUERIES = {q.__name__: q for q in (market_summary, market_filtered, market_overview, district_market, type_summary, price_bands, price_histogram, capped_prices, top_orders, segment_share, monthly_revenue)}
 _GROUP = "count(*) AS listings, round(median(p), 3) AS median_price, round(median(u), 3) AS median_unit_price"
 _LINES = "SELECT p_brand, l_extendedprice AS p, CASE WHEN l_extendedprice > 0 AND l_quantity > 0 THEN round(l_extendedprice / l_quantity, 2) END AS u FROM lineitem JOIN part ON l_partkey = p_partkey"
 ORACLE = {
@@ -99,7 +99,7 @@ ORACLE = {
     "type_summary": "SELECT property_type, count(*) AS listings, count(price_usd) AS priced, count(size_m2) AS sized, round(median(price_usd), 2) AS median_price FROM clean_khmer24 GROUP BY property_type",
     "price_bands": "SELECT CASE WHEN price_usd >= 0 AND price_usd <= 50000 THEN 'to_50k' WHEN price_usd > 50000 AND price_usd <= 100000 THEN 'to_100k' WHEN price_usd > 100000 AND price_usd <= 200000 THEN 'to_200k' WHEN price_usd > 200000 AND price_usd <= 400000 THEN 'to_400k' WHEN price_usd > 400000 AND price_usd <= 1e9 THEN 'more' END AS band, count(*) AS n FROM clean_khmer24 WHERE price_usd IS NOT NULL GROUP BY 1",
     "price_histogram": "SELECT CAST(least(floor(l_extendedprice / 3000.0), 39) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 120000 GROUP BY 1",
-    "p99_cap": "SELECT l_returnflag, count(*) AS n, round(max(l_extendedprice), 2) AS highest FROM lineitem WHERE l_extendedprice <= (SELECT quantile_cont(l_extendedprice, 0.99) FROM lineitem) GROUP BY 1",
+    "capped_prices": "SELECT l_returnflag, count(*) AS n, round(max(l_extendedprice), 2) AS highest FROM lineitem WHERE l_extendedprice <= (SELECT quantile_cont(l_extendedprice, 0.99) FROM lineitem) GROUP BY 1",
     "top_orders": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "segment_share": "SELECT c_mktsegment, round(100 * sum(c_acctbal) / sum(sum(c_acctbal)) OVER (), 4) AS pct FROM customer GROUP BY 1",
     "monthly_revenue": "SELECT CAST(year(l_shipdate) AS INTEGER) AS y, CAST(month(l_shipdate) AS INTEGER) AS m, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.08 GROUP BY 1, 2",
