@@ -138,6 +138,18 @@ def test_hot_group_of_copies(spark):
     assert neardup.near_duplicates(df.limit(0), "id", F.col("text")).count() == 0
 
 
+def test_near_duplicates_of_common_wording(spark):
+    """The wording a third of the texts share isn't rare; tails of rare words don't hide it."""
+    rng = random.Random(8)
+    shared = " ".join(f"{rng.choice(WORDS)}{i}" for i in range(72))
+    tails = [[f"tail{i}x{k}" for k in range(17)] for i in range(100)]
+    texts = [(f"c{i:03d}", f"{shared} {' '.join(t)}") for i, t in enumerate(tails)]
+    texts += [(f"o{i:03d}", " ".join([*rng.sample(t, 17), *(f"own{i}y{k}" for k in range(30))])) for i, t in enumerate(tails)]
+    texts += [(f"u{i:03d}", " ".join(f"u{i}z{k}" for k in range(30))) for i in range(100)]
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "id string, text string"), "id", F.col("text"))
+    assert {r["key"] for r in got.collect()} == {f"c{i:03d}" for i in range(100)} and got.select("class_id").distinct().count() == 1
+
+
 def test_likeness():
     import numpy as np
 
