@@ -150,6 +150,26 @@ def test_near_duplicates_of_common_wording(spark):
     assert {r["key"] for r in got.collect()} == {f"c{i:03d}" for i in range(100)} and got.select("class_id").distinct().count() == 1
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_candidates_hold_every_pair_within_the_distance(spark, block):
+    """Texts of one template: many strangers share each key, and part no pair."""
+    import numpy as np
+
+    from lakemason.functions.textcodes import minwise, shingles, words
+
+    rng = random.Random(9)
+    template = [f"{rng.choice(WORDS)}{i}" for i in range(40)]
+    texts = [" ".join(template + [f"t{i // 2}w{rng.randrange(60)}" for _ in range(15)] + [f"s{i // 2}e{k}" for k in range(30)]) for i in range(400)]
+    hashes, docs = words(texts)
+    grams, owner, _ = shingles(hashes, docs, neardup.SHINGLE_WORDS)
+    signature = minwise(grams, owner, len(texts), neardup.SYMBOLS, 11)
+    a, b = np.nonzero((signature[:, None] == signature[None]).sum(2) >= neardup.SYMBOLS - 15)
+    want = {(int(x), int(y)) for x, y in zip(a, b, strict=True) if x < y}
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = neardup.candidates(df) if block == 2048 else neardup.candidates(df, block)
+    assert len(want) > 200 and want <= {(r["a"], r["b"]) for r in found.collect()}
+
+
 def test_likeness():
     import numpy as np
 
