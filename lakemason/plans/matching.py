@@ -85,11 +85,9 @@ def blocked_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.candidate_pairs(rows.withColumn("blocks", keys), "listing_id", "source", "blocks", 300)
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
+def _met(spark: SparkSession, sf: str) -> DataFrame:
     rows = _both(spark, sf)
-    met = pairs.attach(pairs.candidate_pairs(rows, "listing_id", "source", "blocks", 300), rows, "listing_id", SIDES)
-    near = met.where(pairs.close("price_usd_a", "price_usd_b", 0.08) & pairs.close("size_m2_a", "size_m2_b", 0.08, 5.0))  # cheap tests before the slow one
-    return near.withColumn("title_sim", pairs.title_similarity(F.col("title_key_a"), F.col("title_key_b")))
+    return pairs.attach(pairs.candidate_pairs(rows, "listing_id", "source", "blocks", 300), rows, "listing_id", SIDES)
 
 
 def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,18 +101,24 @@ def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
     titles = [("title_high", sim >= 0.84, 10.0), ("title_medium", sim >= 0.68, 8.0), ("title_low", sim >= 0.5, 7.0)]
     # a pair that its title can't lift over the limit is dropped before titles are compared
     within_reach = sum((F.when(N.sure(c), F.lit(w)).otherwise(0.0) for _, c, w in plain), F.lit(25.0)) >= 60.0
-    return pairs.score(_scored(spark, sf).where(within_reach), plain + titles, 60.0, [(85.0, "high"), (70.0, "medium")]).select("a", "b", "score", "confidence", "title_sim")
+    near = _met(spark, sf).where(within_reach).withColumn("title_sim", pairs.title_similarity(F.col("title_key_a"), F.col("title_key_b")))
+    return pairs.score(near, plain + titles, 60.0, [(85.0, "high"), (70.0, "medium")]).select("a", "b", "score", "confidence", "title_sim")
 
 
 def judged_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The strict tree: the first failing test names the outcome."""
     differ = lambda c: F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull() & (F.col(f"{c}_a") != F.col(f"{c}_b"))
     known = F.col("unit_floor_a").isNotNull() & F.col("unit_floor_b").isNotNull()
-    outcome = pairs.first_failing([
+    early = pairs.first_failing([
         ("district_conflict", differ("district")), ("bedrooms_conflict", differ("bedrooms")), ("floors_conflict", differ("unit_floor")), ("price_differs", ~pairs.close("price_usd_a", "price_usd_b", 0.03)), ("size_differs", ~pairs.close("size_m2_a", "size_m2_b", 0.03, 2.0)),
-        ("title_too_different", F.col("title_sim") < F.when(known, 0.68).otherwise(0.75)), ("uncertain", ~known),
-    ], "strict")
-    return _scored(spark, sf).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    ], "")
+    # titles are compared where no earlier test decides, each pair of titles once
+    title = lambda side: F.when(F.col("early") == "", F.col(f"title_key_{side}")).alias(f"title_{side}")
+    met = _met(spark, sf).withColumn("early", early).select("early", known.alias("known"), title("a"), title("b"))
+    groups = met.groupBy("early", "known", "title_a", "title_b").agg(F.count("*").alias("n"))
+    sim = pairs.title_similarity(F.col("title_a"), F.col("title_b"))
+    late = pairs.first_failing([("title_too_different", sim < F.when(F.col("known"), 0.68).otherwise(0.75)), ("uncertain", ~F.col("known"))], "strict")
+    return groups.groupBy(F.when(F.col("early") == "", late).otherwise(F.col("early")).alias("outcome")).agg(F.sum("n").alias("n"))
 
 
 def pair_sources(spark: SparkSession, sf: str) -> DataFrame:

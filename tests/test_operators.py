@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakemason.operators import dedupe, fill, joins, location, pairs, profile, resolve, review, rules
 from lakemason.operators.components import components
 from lakemason.operators.modelling import conformal_rank, conformal_width, split_label
+from lakemason.plans import matching
 
 
 def rows(df, *by):
@@ -175,6 +176,22 @@ def test_pairs(spark):
     assert spark.createDataFrame([("tower of london bridges a",)], "t string").select(pairs.longest_words(F.col("t"))).first()[0] == ["bridges", "london", "tower"]
 
 
+def _adverts(spark, folder, classified, agency):
+    fields = {"listing_id": "string", "title": "string", "property_type": "string", "district": "string", "bedrooms": "int", "bathrooms": "int", "unit_floor": "int", "price_usd": "double", "size_m2": "double"}
+    base = {"property_type": "Condo", "district": "Chamkar", "bedrooms": 2, "bathrooms": 2, "unit_floor": 9, "price_usd": 100000.0, "size_m2": 80.0}
+    for name, adverts in (("clean_khmer24", classified), ("clean_harbor", agency)):
+        spark.createDataFrame([tuple((base | a)[f] for f in fields) for a in adverts], ", ".join(f"{k} {v}" for k, v in fields.items())).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_scored_and_judged_pairs_without_near_price_or_size(spark, tmp_path):
+    title = "riverside tower corner unit"
+    unknown, far = {"listing_id": "k1", "title": title, "price_usd": None}, {"listing_id": "k2", "title": title, "price_usd": 150000.0, "size_m2": 120.0}
+    sf = _adverts(spark, tmp_path, [unknown, far], [{"listing_id": "h1", "title": title}])
+    assert rows(matching.scored_pairs(spark, sf).select("a", "b", "score")) == [("h1", "k1", 95.0), ("h1", "k2", 75.0)]
+    assert rows(matching.judged_pairs(spark, sf)) == [("price_differs", 2)]
+
+
 def test_band_pairs_against_all_pairs(spark):
     rng = random.Random(5)
     data = [(i, rng.choice("pq"), rng.uniform(20, 40), rng.uniform(1e5, 1.3e5)) for i in range(120)]
