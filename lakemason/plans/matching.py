@@ -73,8 +73,11 @@ def _both(spark: SparkSession, sf: str) -> DataFrame:
         return one.withColumn("source", F.lit(name))
 
     rows = side("clean_khmer24").unionByName(side("clean_harbor")).withColumn("title_key", T.title_key(F.col("title")))
-    kind, place = F.col("property_type"), F.col("district")
-    keys = pairs.block_keys({}, {"size": ([kind, place, F.col("bedrooms")], N.neighbour_bands(F.col("size_m2"), 5.0)), "price": ([kind, place], F.array(N.half_even_band(F.col("price_usd"), 1000.0))), "word": ([kind, F.col("bedrooms")], pairs.longest_words(F.col("title_key")))})
+    plain = lambda other: F.nullif(F.trim(F.regexp_replace(F.lower("district"), other, " ")), F.lit(""))
+    kind, rooms = F.coalesce(F.lower(F.trim("property_type")), F.lit("")), F.col("bedrooms")
+    place = F.coalesce(plain(r"[^a-z0-9]+"), plain(r"[^\p{L}\p{M}\p{N}]+"))
+    bands = {"size": ([kind, rooms], N.neighbour_bands(F.col("size_m2"), 5.0)), "price": ([kind, place], N.neighbour_bands(F.col("price_usd"), 10000.0)), "word": ([kind], pairs.longest_words(F.col("title_key")))}
+    keys = pairs.block_keys({"place": [kind, place, rooms]}, bands)
     return rows.withColumn("blocks", keys)
 
 

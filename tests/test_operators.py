@@ -192,6 +192,15 @@ def test_scored_and_judged_pairs_without_near_price_or_size(spark, tmp_path):
     assert rows(matching.judged_pairs(spark, sf)) == [("price_differs", 2)]
 
 
+def test_scored_pairs_meet_under_each_surveyed_family(spark, tmp_path):
+    classified = [
+        {"listing_id": "k1", "title": "alpha", "size_m2": 200.0, "price_usd": 300000.0}, {"listing_id": "k2", "title": "bravo", "district": None},
+        {"listing_id": "k3", "title": "charlie", "bedrooms": None, "price_usd": 100700.0}, {"listing_id": "k4", "title": "garden palace", "district": None, "bedrooms": None},
+    ]
+    sf = _adverts(spark, tmp_path, classified, [{"listing_id": "h1", "title": "garden palace"}])
+    assert rows(matching.judged_pairs(spark, sf)) == [("price_differs", 1), ("strict", 1), ("title_too_different", 2)]
+
+
 def test_band_pairs_against_all_pairs(spark):
     rng = random.Random(5)
     data = [(i, rng.choice("pq"), rng.uniform(20, 40), rng.uniform(1e5, 1.3e5)) for i in range(120)]
