@@ -89,8 +89,7 @@ def blocked_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _met(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _both(spark, sf)
-    return pairs.attach(pairs.candidate_pairs(rows, "listing_id", "source", "blocks", 300), rows, "listing_id", SIDES)
+    return pairs.met_pairs(_both(spark, sf), "listing_id", "source", "blocks", SIDES)
 
 
 def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -176,6 +176,14 @@ def test_pairs(spark):
     assert spark.createDataFrame([("tower of london bridges a",)], "t string").select(pairs.longest_words(F.col("t"))).first()[0] == ["bridges", "london", "tower"]
 
 
+def test_met_pairs_leave_out_no_block(spark):
+    data = [(f"{'pq'[i % 2]}{i:03d}", "xy"[i % 2], ["hot"] + [f"b{i % 7}"] * (i % 3) + [None] * (i % 2)) for i in range(401)] + [("z1", "x", [None]), ("z2", "y", [None]), ("z3", "x", [])]
+    df = spark.createDataFrame(data, "id string, src string, blocks array<string>").withColumn("v", F.upper("id"))
+    want = sorted((a, b, a.upper(), b.upper()) for a, s, _ in data[:401] for b, t, _ in data[:401] if a < b and s != t)
+    for part in (10_000, 50):
+        assert rows(pairs.met_pairs(df, "id", "src", "blocks", ["v"], part).select("a", "b", "v_a", "v_b")) == want
+
+
 def _adverts(spark, folder, classified, agency):
     fields = {"listing_id": "string", "title": "string", "property_type": "string", "district": "string", "bedrooms": "int", "bathrooms": "int", "unit_floor": "int", "price_usd": "double", "size_m2": "double"}
     base = {"property_type": "Condo", "district": "Chamkar", "bedrooms": 2, "bathrooms": 2, "unit_floor": 9, "price_usd": 100000.0, "size_m2": 80.0}
@@ -201,6 +209,11 @@ def test_scored_pairs_meet_under_each_surveyed_family(spark, tmp_path):
     assert rows(matching.judged_pairs(spark, sf)) == [("price_differs", 1), ("strict", 1), ("title_too_different", 2)]
 
 
+def test_scored_pairs_of_a_large_block(spark, tmp_path):
+    sf = _adverts(spark, tmp_path, [{"listing_id": f"k{i:03d}", "title": f"kilo{i}"} for i in range(310)], [{"listing_id": "h1", "title": "other"}])
+    assert matching.scored_pairs(spark, sf).count() == 310
+
+
 def test_band_pairs_against_all_pairs(spark):
     rng = random.Random(5)
     data = [(i, rng.choice("pq"), rng.uniform(20, 40), rng.uniform(1e5, 1.3e5)) for i in range(120)]
