@@ -9,7 +9,7 @@ from lakemason.llm.canonical import MentionGazetteer, canonicalise, unmatched_re
 from lakemason.llm.encoding import encode_corpus, tokenizer_folder
 from lakemason.llm.leakage import find_leaks
 from lakemason.llm.matching import match
-from lakemason.llm.neardup import near_duplicates, pairs_of
+from lakemason.llm.neardup import near_duplicates, near_pairs
 from lakemason.llm.pii import find_details, revealing_terms, sanitise
 from lakemason.llm.sentences import sentence_units
 from lakemason.llm.survivor import long_form, survivors
@@ -61,7 +61,8 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = pairs_of(p5_classes(spark, sf_dir).withColumnRenamed("listing_id", "key"))
+    rows = table(spark, sf_dir, "clean_khmer24").select("listing_id", "title", "description")
+    pairs = near_pairs(rows, "listing_id", F.concat_ws("\n", "title", "description"))
     return pairs.select(F.col("key_1").alias("listing_id_1"), F.col("key_2").alias("listing_id_2"))
 
 

@@ -170,6 +170,15 @@ def test_candidates_hold_every_pair_within_the_distance(spark, block):
     assert len(want) > 200 and want <= {(r["a"], r["b"]) for r in found.collect()}
 
 
+def test_near_duplicates_of_bare_titles(spark):
+    titles = [("a1", "Stylish 1 Bedroom Condo for sale Morvika Lantern Residence Grand"), ("a2", "Spotless 1 Bedroom Condo for sale Morvika Lantern Residence Grand"), ("b1", "good area 2+1 BR urgent sale!!"), ("b2", "good area 2+1 BR urgent sale!! 81m2"), ("c", "quite another title of a villa by the lake")]
+    chain = [(f"d{i}", " ".join(f"w{k}" for k in range(2 * i, 2 * i + 9))) for i in range(4)]  # neighbours share 5 of 9, others less
+    df = spark.createDataFrame(titles + chain, "id string, text string")
+    got = neardup.near_pairs(df, "id", F.col("text"))
+    assert {tuple(r) for r in got.collect()} == {("a1", "a2"), ("b1", "b2"), ("d0", "d1"), ("d1", "d2"), ("d2", "d3")}
+    assert neardup.near_duplicates(df, "id", F.col("text")).count() == 8
+
+
 def test_likeness():
     import numpy as np
 
