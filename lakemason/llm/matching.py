@@ -1,9 +1,10 @@
 """Matching entities of two sources that share no identifier.
 
 Method: a deterministic rule cascade. Each rule is an exact join on a weaker combination of
-attributes than the one before; records that a rule resolves leave before the next; each
-rule's confidence is the smoothed share of its joined pairs that an exact comparison of all
-known attributes confirms.
+attributes than the one before; records that a rule resolves leave before the next. Each
+rule's confidence is its labelled precision, smoothed: labels are the numbers of bedrooms,
+which no rule looks at. Pairs that agree in them speak for the rule, as far as
+they agree more often than two adverts of one building and size do by chance.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,7 @@ _PRICE = re.compile(r"(?:\$|USD|US\$)\s?(\d[\d,]*(?:\.\d+)?)\s?([KM](?![a-z0-9²
 _SIZE = re.compile(r"(?<![\d.])(\d+(?:\.\d+)?)\s?(sqm|m2|m²|sq\.?\s?m|sqft|sq\.?\s?ft)(?![a-z])", re.I)
 _FLOOR = re.compile(r"\b(?:floor|level)\s+(\d{1,3})\b", re.I)
 
-PROFILE = "id string, price double, size double, floor int, address string, exact array<string>, loose array<struct<key: string, rest: string>>"
+PROFILE = "id string, price double, size double, floor int, rooms int, address string, exact array<string>, loose array<struct<key: string, rest: string>>"
 
 
 def title_facts(title: str | None) -> tuple[float | None, float | None, int | None]:
@@ -95,26 +96,31 @@ def profiles(rows: DataFrame) -> DataFrame:
                 loose = sorted({(f"{k}|{' '.join(p[:k] + p[k + 1 :])}", p[k]) for p in names if p[1] for k in range(3)})
                 known = lambda v: None if v is None or v != v or v <= 0 else float(v)
                 unit_floor = None if r.unit_floor is None or r.unit_floor != r.unit_floor else int(r.unit_floor)
-                out.append((r.listing_id, known(r.price_usd) or known(price), known(r.size_m2) or known(size), floor if unit_floor is None else unit_floor, " ".join(name_words(r.address, False)) if r.address else None, exact, [{"key": a, "rest": b} for a, b in loose]))
-            frame = pd.DataFrame(out, columns=["id", "price", "size", "floor", "address", "exact", "loose"])
-            yield frame.astype({"floor": "Int32"})
+                out.append((r.listing_id, known(r.price_usd) or known(price), known(r.size_m2) or known(size), floor if unit_floor is None else unit_floor, None if r.rooms is None or r.rooms != r.rooms else int(r.rooms), " ".join(name_words(r.address, False)) if r.address else None, exact, [{"key": a, "rest": b} for a, b in loose]))
+            frame = pd.DataFrame(out, columns=["id", "price", "size", "floor", "rooms", "address", "exact", "loose"])
+            yield frame.astype({"floor": "Int32", "rooms": "Int32"})
 
-    one = rows.select("listing_id", "title", "project_name", F.col("price_usd").cast("double"), F.col("size_m2").cast("double"), F.col("unit_floor").cast("int"), "address").where(F.col("listing_id").isNotNull())
+    one = rows.select("listing_id", "title", "project_name", F.col("price_usd").cast("double"), F.col("size_m2").cast("double"), F.col("unit_floor").cast("int"), F.col("bedrooms").cast("int").alias("rooms"), "address").where(F.col("listing_id").isNotNull())
     made = one.mapInPandas(make, PROFILE)
     # rows that repeat an id are one advert; the fullest profile stands for it
-    full = F.struct(F.size("exact"), *[F.col(c).isNotNull() for c in ("price", "size", "floor", "address")], *["price", "size", "floor", "address", "exact", "loose"])
+    full = F.struct(F.size("exact"), *[F.col(c).isNotNull() for c in ("price", "size", "floor", "address")], *["price", "size", "floor", "rooms", "address", "exact", "loose"])
     best = made.groupBy("id").agg(F.max(full).alias("m"))
-    return best.select("id", *[F.col(f"m.{c}").alias(c) for c in ("price", "size", "floor", "address", "exact", "loose")])
+    return best.select("id", *[F.col(f"m.{c}").alias(c) for c in ("price", "size", "floor", "rooms", "address", "exact", "loose")])
+
+
+def _place(value: Column, tolerance: float) -> Column:
+    """Where a value stands among logarithmic bands twice as wide as the tolerance."""
+    return F.log(value) / F.lit(-2 * math.log(1 - tolerance))
 
 
 def band(value: Column, tolerance: float) -> Column:
-    """The logarithmic band of a value: values within the tolerance are at most one band apart."""
-    return F.floor(F.log(value) / F.lit(-math.log(1 - tolerance)))
+    return F.floor(_place(value, tolerance))
 
 
 def _around(value: Column, tolerance: float) -> Column:
-    own = band(value, tolerance)
-    return F.explode(F.array(own - 1, own, own + 1))
+    """The two bands (three at a very edge) in which all values within the tolerance lie."""
+    place = _place(value, tolerance)
+    return F.explode(F.sequence(F.floor(place - 0.5 - 1e-9), F.floor(place + 0.5 + 1e-9)))
 
 
 def _close(a: Column, b: Column, tolerance: float) -> Column:
@@ -128,20 +134,35 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x == y or Pattern(x).likeness(y) >= 0.6 for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def chance(rows: DataFrame) -> float:
+    """How often two profiles of one building and size band agree in their rooms."""
+    known = rows.where("rooms is not null and size is not null").select(F.explode("exact").alias("k"), band(F.col("size"), SIZE_TOLERANCE).alias("band"), "rooms")
+    each = known.groupBy("k", "band", "rooms").agg(F.count("*").cast("double").alias("n"))
+    all_ = each.groupBy("k", "band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
+    same, pairs = all_.agg(F.sum("same"), F.sum(F.col("n") * (F.col("n") - 1))).first()
+    return ((same or 0.0) + 1) / ((pairs or 0.0) + 2)
+
+
+def labelled_precision(agree: int, known: int, by_chance: float) -> float:
+    """The smoothed share of labelled pairs that agree, freed from agreement by chance."""
+    return max(0.0, ((agree + 1) / (known + 2) - by_chance) / (1 - by_chance))
+
+
 def match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, rule, confidence) of records that describe one flat.
 
     left and right are adverts with listing_id, title, project_name, price_usd, size_m2,
-    unit_floor and address; what a field lacks is read from the title. Pairs need the same
-    building (phases and towers are buildings of their own), and price, size and floor
-    within the tolerances as far as both tell them; of price and size at least one, and
-    where size is unknown also the floor, must be known to agree. Records that tell neither
-    building nor address match nothing. Every pair of the first rule that resolves a right
-    record is given; a left record may match several right ones. Null ids, empty tables and
-    repeated rows are allowed; ties all stay.
+    unit_floor, bedrooms and address; what a field lacks is read from the title.
+    Pairs need the same building (phases and towers are buildings of their own), and price,
+    size and floor within the tolerances as far as both tell them; of price and size at least
+    one, and where size is unknown also the floor, must be known to agree. Records that tell
+    neither building nor address match nothing. Every pair of the first rule that resolves a
+    right record is given; a left record may match several right ones. A rule without a
+    labelled pair gets the confidence of no evidence. Null ids, empty tables and repeated
+    rows are allowed; ties all stay. Joins are merge joins: nothing is gathered in the driver.
     """
     lefts, rights = cut_lineage(profiles(left)), cut_lineage(profiles(right))
-    facts = ["id", "price", "size", "floor"]
+    facts = ["id", "price", "size", "floor", "rooms"]
 
     def side(rows: DataFrame, tag: str, key: Column, rest: Column | None, bands: list[tuple[str, float]], around: bool) -> DataFrame:
         keyed = rows.select(*facts, key.alias("k")) if rest is None else rows.select(*facts, F.explode("loose").alias("l")).select(*facts, F.col("l.key").alias("k"), F.col("l.rest").alias("rest"))
@@ -162,26 +183,29 @@ def match(left: DataFrame, right: DataFrame) -> DataFrame:
         ("building_price_floor", exact, None, both[:1], [(no_size, None), (None, no_size)]),
         ("address_price_size", address, None, both, [(unnamed, None), (None, unnamed)]),
     ]
-    found, open_ = None, rights
+    price, size = _close(F.col("a_price"), F.col("b_price"), PRICE_TOLERANCE), _close(F.col("a_size"), F.col("b_size"), SIZE_TOLERANCE)
+    floor = F.abs(F.col("a_floor") - F.col("b_floor")) <= FLOOR_TOLERANCE
+    yes = lambda c: F.coalesce(c, F.lit(True))
+    hits: list[DataFrame] = []
+    open_ = rights
     for name, key, rest, bands, takes in rules:
         met = None
         for only_left, only_right in takes:
             a = side(lefts if only_left is None else lefts.where(only_left), "a", key, rest, bands, True)
             b = side(open_ if only_right is None else open_.where(only_right), "b", key, rest, bands, False)
-            pairs = a.join(b, "h")
+            pairs = a.hint("merge").join(b.hint("merge"), "h")
             met = pairs if met is None else met.unionByName(pairs)
-        price, size = _close(F.col("a_price"), F.col("b_price"), PRICE_TOLERANCE), _close(F.col("a_size"), F.col("b_size"), SIZE_TOLERANCE)
-        floor = F.abs(F.col("a_floor") - F.col("b_floor")) <= FLOOR_TOLERANCE
-        yes = lambda c: F.coalesce(c, F.lit(True))
         fits = yes(price) & yes(size) & yes(floor)
         if name == "building_price_floor":
             fits = fits & floor.isNotNull()
+        met = met.where(fits)
         if rest is not None:
-            met = met.where(fits & alike("a_rest", "b_rest"))
-        labelled = cut_lineage(met.select("a_id", "b_id", fits.alias("ok")).groupBy("a_id", "b_id").agg(F.max("ok").alias("ok")))
-        right_ones, n = labelled.agg(F.count_if("ok"), F.count("*")).first()
-        confidence = F.lit((right_ones + 1) / (n + 2)).alias("confidence")
-        hits = labelled.where("ok").select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.lit(name).alias("rule"), confidence)
-        found = hits if found is None else found.unionByName(hits)
-        open_ = open_.join(hits.select(F.col("right_id").alias("id")).distinct(), "id", "left_anti")
-    return found
+            met = met.where(alike("a_rest", "b_rest"))
+        agree = (F.col("a_rooms") == F.col("b_rooms")).alias("agree")
+        hits.append(cut_lineage(met.select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.lit(name).alias("rule"), agree).groupBy("left_id", "right_id", "rule").agg(F.max("agree").alias("agree"))))
+        open_ = open_.join(hits[-1].select(F.col("right_id").alias("id")).distinct().hint("merge"), "id", "left_anti")
+    found = reduce(DataFrame.unionByName, hits)
+    counts = {r["rule"]: (r["agree"], r["known"]) for r in found.groupBy("rule").agg(F.count_if("agree").alias("agree"), F.count("agree").alias("known")).collect()}  # one row a rule
+    by_chance = chance(rights)
+    confidence = F.coalesce(*[F.when(F.col("rule") == name, F.lit(labelled_precision(*counts.get(name, (0, 0)), by_chance))) for name, *_ in rules])
+    return found.select("left_id", "right_id", "rule", confidence.alias("confidence"))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lakemason.llm import canonical, matching, neardup, survivor
 
-ADVERT = "listing_id string, title string, project_name string, price_usd double, size_m2 double, unit_floor int, address string, a_id string, k long"
+ADVERT = "listing_id string, title string, project_name string, price_usd double, size_m2 double, unit_floor int, address string, bedrooms int, a_id string, k long"
 
 
 def adverts(spark, *rows):
-    return spark.createDataFrame([(*r, *[None] * (7 - len(r)), "clash", 1) for r in rows], ADVERT)
+    return spark.createDataFrame([(*r, *[None] * (8 - len(r)), "clash", 1) for r in rows], ADVERT)
 
 
 def found(df):
@@ -42,6 +42,15 @@ def test_cascade_against_all_pairs(spark):
     assert got == {(a[0], b[0]) for a in left for b in right if ok(a, b)}
 
 
+def test_confidence_by_labels(spark):
+    """Rooms, which no rule looks at, speak for or against a rule."""
+    rows = lambda tag, rooms: adverts(spark, *[(f"{tag}{i}", "x", f"Vorphea Wind Park {'Phase 2' if i % 2 else ''}", 100_000.0 + 20_000 * i, 60.0 + (i % 5) * 10, None, None, rooms(i)) for i in range(40)])
+    sure = {r["confidence"] for r in matching.match(rows("h", lambda i: i % 7), rows("k", lambda i: i % 7)).collect()}
+    poor = {r["confidence"] for r in matching.match(rows("h", lambda i: i % 7), rows("k", lambda i: (i * 3 + 1) % 7)).collect()}
+    none = {r["confidence"] for r in matching.match(rows("h", lambda i: None), rows("k", lambda i: None)).collect()}
+    assert min(sure) > 0.9 and max(poor) < 0.3 and max(none) < 0.6
+
+
 @pytest.mark.parametrize(
     ("text", "wanted"),
     [
