@@ -174,7 +174,7 @@ def test_candidates_hold_every_pair_within_the_distance(spark, block):
     hashes, docs = words(texts)
     grams, owner, _ = shingles(hashes, docs, neardup.SHINGLE_WORDS)
     signature = minwise(grams, owner, len(texts), neardup.SYMBOLS, 11)
-    a, b = np.nonzero((signature[:, None] == signature[None]).sum(2) >= neardup.SURE)
+    a, b = np.nonzero((signature[:, None] == signature[None]).sum(2) >= neardup.AGREE)
     want = {(int(x), int(y)) for x, y in zip(a, b, strict=True) if x < y}
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     found = neardup.candidates(df) if block == 2048 else neardup.candidates(df, block)
