@@ -1,34 +1,37 @@
 """Personal information inside free text: where it stands, of what type, and readable text without it.
 
-Method: information-theoretic sanitisation. Patterns with a fixed form (phones, mail
-addresses, identity numbers, street addresses) are found as such. For names the corpus
-teaches: each term's co-occurrence with protected positions (behind "Mr.", "contact", "name",
-beside a phone number, ...) against its frequency anywhere gives the information it discloses
-about a person; terms above the threshold are names wherever they stand, with or without a
-cue, in any case. Found details give way to typed placeholders.
+Method: information-theoretic sanitisation. Phones, mail addresses, identity numbers and
+street addresses have a fixed form and are found as such; they, and forms of address, mark
+protected positions. From the co-occurrence of every term with such positions over the whole
+corpus comes the information, in bits, that the term discloses about a person standing there.
+Terms above the threshold are names wherever they stand, with or without a cue, in any case.
+What is found is generalised to its type: a placeholder takes its place.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemason.sources.tables import cut_lineage
 
-#: A term discloses a person where at least this share of its occurrences is protected...
-DISCLOSURE = 0.4
-#: ...and it is protected at least so often, and at least in one of so many texts: at most
-#: PER_TEXTS x (terms protected in an average text) terms can reach it, however large the corpus.
-LEAST, PER_TEXTS = 3, 1_000_000
+#: A term is a name where it discloses this share of the bits that it takes to point at a
+#: protected position (1 where it stands nowhere else, 0 where protection is as likely as
+#: anywhere)...
+DISCLOSURE = 0.8
+#: ...and where it is protected so often at least: once or twice may be chance.
+LEAST = 3
+#: Slots of the sieve that tells likely terms before they are looked up: fixed, whatever the number of terms.
+SIEVE, SIEVE_PART = 1 << 24, 1 << 12
 TYPES = ("email", "id_number", "phone", "address", "name")
-SPANS = "array<struct<pii_type: string, span_start: int, span_end: int>>"
 
 # Other digits than ASCII, one code point for one.
 _OTHER_DIGIT = re.compile("[០-៩０-９]")
@@ -45,21 +48,31 @@ _PHONE = re.compile(  # begins with one of four characters, which the search ski
     rf")(?!\w)"
 )
 _CODE_BEFORE = re.compile(r"(?:code|ref|listing no|no|number|plan|lot)[.:]?\s*$", re.I)
-_AT = r"(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?|\sat\s)"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
-_EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)+", re.I)
+_SPELLED = r"(?:\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
+_LOCAL, _LABEL = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*", r"[A-Za-z0-9-]+"
+# Ends of addresses that tell "x at y.com" from a sentence that lacks a blank.
+_ENDINGS = ("com", "org", "net", "info", "biz", "edu", "gov", "kh", "example", "test")
+#: (what its text must contain one of, in small letters; pattern): each list is of parts that no match can lack.
+_EMAILS = (
+    (("@", "[at]", "(at)"), re.compile(rf"{_LOCAL}(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?){_LABEL}(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)+", re.I)),
+    (("dot",), re.compile(rf"{_LOCAL}\sat\s{_LABEL}(?:{_DOT}{_LABEL})*?{_SPELLED}[A-Za-z][A-Za-z0-9-]*(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)*", re.I)),
+    (tuple(f".{e}" for e in _ENDINGS), re.compile(rf"{_LOCAL}\sat\s{_LABEL}(?:\.{_LABEL})*?\.(?:{'|'.join(_ENDINGS)})(?![\w-])", re.I)),
+)
 _ID = re.compile(r"[A-Z]-?\d{4}-?\d{3,4}(?!\w)|\d{3}[ -]?\d{3}[ -]?\d{3}(?:\s?\(\d{1,2}\))?(?!\w)", re.I)
 _ID_LABEL = re.compile(r"id card|identity card|passport|អត្តសញ្ញាណប័ណ្ណ|លិខិតឆ្លងដែន|身份证|护照", re.I)
+#: No label lacks all of these.
+_ID_PARTS = ("card", "passport", "អត្ត", "លិខិត", "证", "护照")
 _ID_GAP = re.compile(r"(?:លេខ|号码|号|no\.?|number)?[\s::#]*", re.I)
 _ID_TAIL = re.compile(r"(?<![\w+.-])([A-Z]-?\d{4}-?\d{3,4}|\d{3}[ -]?\d{3}[ -]?\d{3}(?:\s?\(\d{1,2}\))?)(?=\s?,? (?:name|on file)\b)", re.I)
 _ROAD = "road|boulevard|avenue|blvd|ave|street|lane"
-_ADDRESS = re.compile(
-    r"(?<![\w#])(?:(?:no\.?|house|villa)\s*|#\s?)\d+[a-z]?\d*,?\s+(?:(?:lane|borey)\s+\w+,?\s+)*(?:(?:street|st\.?)\s*\d+[a-z]?(?!\w)|[a-z]+\s+(?:" + _ROAD + r")(?!\w))"
-    r"|(?<![\w$,.])\d+[a-z]?\s+[a-z]{4,}\s+(?:road|boulevard|avenue)(?!\w)"
-    r"|ផ្ទះ(?:លេខ)?\s*\d+[a-z]?\s*,?\s*ផ្លូវ(?:លេខ)?\s*\d+",
-    re.I,
+_ADDRESSES = (
+    # a house number behind its label begins with one of few characters, which the search skips to
+    (("street", "st", *_ROAD.split("|")), re.compile(r"(?:(?<!\w)(?:no\.?|house|villa)\s*|(?<![\w#])#\s?)\d+[a-z]?\d*,?\s+(?:(?:lane|borey)\s+\w+,?\s+)*(?:(?:street|st\.?)\s*\d+[a-z]?(?!\w)|[a-z]+\s+(?:" + _ROAD + r")(?!\w))", re.I)),
+    (("road", "boulevard", "avenue"), re.compile(r"(?<![\w$,.#])\d+[a-z]?\s+[a-z]{4,}\s+(?:road|boulevard|avenue)(?!\w)", re.I)),
+    (("ផ្ទះ",), re.compile(r"(?<![\w#])ផ្ទះ(?:លេខ)?\s*\d+[a-z]?\s*,?\s*ផ្លូវ(?:លេខ)?\s*\d+", re.I)),
 )
-_ADDRESS_HINTS = ("street", "road", "boulevard", "st.", " st ", "avenue", "ផ្លូវ")
+_HOUSE = re.compile(r"(?:no|no\.|house|villa|#)\s*\d", re.I)
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+|[ក-៓ៜ៝]+|[一-鿿]+")
 _LATIN_NAME = re.compile(r"[\s:]*((?:[A-Z]\.\s?)?[A-Z][A-Za-z]{2,}(?:\s+[A-Z][A-Za-z]{2,})?|[A-Z]\.\s?[A-Z][A-Za-z]{2,})")
 _KHMER_NAME = re.compile(r"[\s:]*([ក-៓]+(?:\s+[ក-៓]+)?)(?=\s*(?:លេខ|។|,|$))")
@@ -93,21 +106,22 @@ def fixed_details(text: str) -> tuple[str, list[tuple[int, int, str]]]:
             spans.append((start, end, kind))
 
     low = plain.lower()
-    if "@" in plain or "(at)" in low or "[at]" in low or " dot " in low:
-        for m in _EMAIL.finditer(plain):
-            add(m.start(), m.end(), "email")
-    if "card" in low or "passport" in low or "អត្ត" in low or "លិខិត" in low or "证" in low or "护照" in low:
-        for m in _ID_LABEL.finditer(plain):
-            if v := _ID.match(plain, _ID_GAP.match(plain, m.end()).end()):
-                add(v.start(), v.end(), "id_number")
-    if " on file" in low or ", name" in low:
+    for parts, pattern in _EMAILS:
+        if any(part in low for part in parts):
+            for m in pattern.finditer(plain):
+                add(m.start(), m.end(), "email")
+    for m in _ID_LABEL.finditer(plain) if any(part in low for part in _ID_PARTS) else ():
+        if v := _ID.match(plain, _ID_GAP.match(plain, m.end()).end()):
+            add(v.start(), v.end(), "id_number")
+    if "name" in low or "on file" in low:
         for m in _ID_TAIL.finditer(plain):
             add(m.start(1), m.end(1), "id_number")
     for start, end in phones(plain):
         add(start, end, "phone")
-    if any(hint in low for hint in _ADDRESS_HINTS):
-        for m in _ADDRESS.finditer(plain):
-            add(m.start(), m.end(), "address")
+    for k, (parts, pattern) in enumerate(_ADDRESSES):
+        if any(part in low for part in parts) and (k or _HOUSE.search(plain)):
+            for m in pattern.finditer(plain):
+                add(m.start(), m.end(), "address")
     return plain, spans
 
 
@@ -150,10 +164,12 @@ def _plain_words(text: str) -> list[str]:
 
 
 def learn_terms(texts: DataFrame) -> DataFrame:
-    """(term, n_protected, n_total, bits) of every term that stands in a protected position.
+    """(term, n_protected, n_total) of every term that stands in a protected position.
+
+    The row under "" holds the number of all words that are protected, and of all words.
 
     texts: a column ``text``. Counts cover all texts and are summed per task before the
-    shuffle; ``bits`` is the pointwise mutual information of term and protection.
+    shuffle.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,80 +181,158 @@ def learn_terms(texts: DataFrame) -> DataFrame:
                 n += 1
                 words = _plain_words(text)
                 total.update(words)
-                if not text.isupper():
-                    places = [] if _TRIGGERS.isdisjoint(words) else _words(text)
-                    beside = [(s, e, "phone") for s, e in phones(ascii_digits(text))]
-                    for s, e in cued_names(text, places, beside):
-                        protected.update(w.lower() for w, _, _ in _words(text[s:e]) if len(w) > 1)
+                places = [] if _TRIGGERS.isdisjoint(words) else _words(text)
+                for s, e in cued_names(text, places, fixed_details(text)[1]):
+                    protected.update(w.lower() for w, _, _ in _words(text[s:e]) if len(w) > 1)
             if len(total) > 500_000:
                 yield _counts(total, protected, n)
                 total, protected, n = Counter(), Counter(), 0
         yield _counts(total, protected, n)
 
     sums = texts.select("text").mapInPandas(count, "term string, n_protected long, n_total long").groupBy("term").agg(F.sum("n_protected").alias("n_protected"), F.sum("n_total").alias("n_total"))
-    # the row under "" holds the number of all words, and of all texts
     return sums.where("n_protected > 0 or term = ''")
 
 
 def _counts(total: Counter, protected: Counter, n: int) -> pd.DataFrame:
     terms = list(total)
-    return pd.DataFrame({"term": ["", *terms], "n_protected": [sum(total.values()), *(protected[t] for t in terms)], "n_total": [n, *(total[t] for t in terms)]})
+    return pd.DataFrame({"term": ["", *terms], "n_protected": [sum(protected.values()), *(protected[t] for t in terms)], "n_total": [sum(total.values()), *(total[t] for t in terms)]})
 
 
-def revealing_terms(texts: DataFrame) -> dict[str, float]:
-    """term -> bits disclosed, for the terms above the thresholds: a bounded number (see LEAST)."""
+def revealing_terms(texts: DataFrame) -> DataFrame:
+    """(term, bits) of the terms that disclose DISCLOSURE of the bits a protected position holds.
+
+    ``bits`` is the pointwise mutual information of a term and protection; a position holds
+    log2(words / protected words), what a term gives that stands in no other place.
+    """
     counts = cut_lineage(learn_terms(texts))
-    n_words, n_texts = counts.where("term = ''").agg(F.coalesce(F.sum("n_protected"), F.lit(0)), F.coalesce(F.sum("n_total"), F.lit(0))).first()
-    least = max(LEAST, n_texts / PER_TEXTS)
-    kept = counts.where((F.col("term") != "") & (F.col("n_protected") >= least) & (F.col("n_protected") >= DISCLOSURE * F.col("n_total"))).collect()
-    everything = max(1, sum(r["n_protected"] for r in kept))
-    return {r["term"]: math.log2(r["n_protected"] / r["n_total"] * n_words / everything) for r in kept}
+    n_protected, n_words = counts.where("term = ''").agg(F.coalesce(F.sum("n_protected"), F.lit(0)), F.coalesce(F.sum("n_total"), F.lit(0))).first()
+    held = F.log2(F.lit(float(n_words)) / F.lit(float(max(1, n_protected))))
+    bits = held + F.log2(F.col("n_protected") / F.col("n_total"))
+    return counts.where((F.col("term") != "") & (F.col("n_protected") >= LEAST)).select("term", bits.alias("bits")).where(F.col("bits") >= DISCLOSURE * held)
+
+
+def sieve_of(terms: DataFrame) -> bytes:
+    """A bit for each slot that a term falls into: a fixed size, gathered in parts of bits."""
+    slot = F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(SIEVE))
+    parts = terms.select(slot.alias("s")).groupBy((F.col("s") / SIEVE_PART).cast("int").alias("part")).agg(F.collect_set(F.pmod("s", F.lit(SIEVE_PART)).cast("short")).alias("on"))
+    bits = np.zeros(SIEVE, bool)
+    for row in parts.toLocalIterator():
+        bits[row["part"] * SIEVE_PART + np.array(row["on"], np.int64)] = True
+    return np.packbits(bits).tobytes()
+
 
+class Sieve:
+    """Which words may be terms: all terms, and few others."""
 
-def details(text: str | None, terms: dict[str, float]) -> list[tuple[str, int, int]]:
-    """(type, start, end) of every detail, in order; offsets count code points. Null has none."""
-    if not text:
-        return []
+    def __init__(self, packed: bytes) -> None:
+        self.bits, self.seen = packed, {}
+
+    def __contains__(self, word: str) -> bool:
+        hit = self.seen.get(word)
+        if hit is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            slot = zlib.crc32(word.encode("utf-8", "replace")) % SIEVE
+            hit = self.seen[word] = bool(self.bits[slot >> 3] >> (7 - slot % 8) & 1)
+        return hit
+
+
+Mark = tuple[str, int, int, int, bool, int]
+
+
+def outline(text: str, likely) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]], list[Mark]]:
+    """(spans of fixed form, names with a cue, marks of words that are ``likely`` terms).
+
+    A mark is (word in small letters, its number, start, end, does it follow the word before
+    with only blanks between?, start with an initial before it).
+    """
     plain, spans = fixed_details(text)
-    seen = _plain_words(text)
-    words = [] if terms.keys().isdisjoint(seen) and _TRIGGERS.isdisjoint(seen) else _words(text)
-    names = cued_names(text, words, spans)
-    run: list[int] | None = None
-    for word, start, end in [*words, ("", len(text) + 9, len(text) + 9)]:
-        known = word.lower() in terms
-        if run and known and text[run[1] : start].isspace() and "\n" not in text[run[1] : start] and run[2] < 2:
-            run[1], run[2] = end, run[2] + 1
+    seen = set(_plain_words(text))
+    hits = {w for w in seen if w in likely}
+    words = _words(text) if hits or not _TRIGGERS.isdisjoint(seen) else []
+    marks = []
+    for i, (word, start, end) in enumerate(words if hits else ()):
+        if word.lower() in hits:
+            gap = text[words[i - 1][2] : start] if i else ""
+            initial = _INITIAL.search(text, max(0, start - 4), start)
+            marks.append((word.lower(), i, start, end, gap.isspace() and "\n" not in gap, initial.start() if initial else start))
+    return spans, cued_names(text, words, spans), marks
+
+
+def finish(spans: list[tuple[int, int, str]], names: list[tuple[int, int]], known: list[Mark]) -> list[tuple[str, int, int]]:
+    """(type, start, end) of every detail, in order, from an outline whose marks are known terms."""
+    spans, names = list(spans), list(names)
+    run: list[int] = []  # start, end, number of the last word, words
+    for _, i, start, end, follows, head in sorted(known, key=lambda m: m[1]):
+        if run and follows and i == run[2] + 1 and run[3] < 2:
+            run[1:] = [end, i, run[3] + 1]
             continue
         if run:
-            s = run[0]
-            if m := _INITIAL.search(text, max(0, s - 4), s):
-                s = m.start()
-            names.append((s, run[1]))
-            run = None
-        if known:
-            run = [start, end, 1]
+            names.append((run[0], run[1]))
+        run = [head, end, i, 1]
+    if run:
+        names.append((run[0], run[1]))
     for s, e in sorted(names, key=lambda x: (x[0] - x[1], x[0])):  # the longest name wins
         if all(e <= a or s >= b for a, b, _ in spans):
             spans.append((s, e, "name"))
     return sorted(((k, s, e) for s, e, k in spans), key=lambda x: x[1])
 
 
-def find_details(rows: DataFrame, key: str, fields: list[str], terms: dict[str, float]) -> DataFrame:
-    """One row (key, field_name, pii_type, span_start, span_end) for each detail of each field.
+def details(text: str | None, terms) -> list[tuple[str, int, int]]:
+    """(type, start, end) of every detail of one text, ``terms`` being names. Null has none."""
+    return finish(*outline(text, terms)) if text else []
 
-    Whole texts are read. Null and empty texts have no rows, null keys neither. A key's rows
-    that repeat give each detail once.
+
+def _details(given: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, field_name, found array<int>) of texts (key, field_name, text) that hold details.
+
+    found: number of the type, start and end of each detail. Words that pass the sieve are
+    looked up in the table of terms by a join, and meet again by text: few words a text.
     """
-    held = rows.sparkSession.sparkContext.broadcast(terms)
+    held = given.sparkSession.sparkContext.broadcast(sieve_of(terms))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        likely = Sieve(held.value)
+        for batch in batches:
+            out = []
+            for key, field, text in zip(batch["key"], batch["field_name"], batch["text"], strict=True):
+                spans, names, marks = outline(text, likely)
+                if spans or names or marks:
+                    out.append((key, field, zlib.crc32(text.encode("utf-8", "replace")), [v for s, e, k in spans for v in (TYPES.index(k), s, e)], [v for n in names for v in n], [f"{m[0]} {m[1]} {m[2]} {m[3]} {int(m[4])} {m[5]}" for m in marks]))
+            yield pd.DataFrame(out, columns=["key", "field_name", "h", "spans", "names", "marks"])
+
+    drawn = given.where("key is not null and text <> ''").mapInPandas(draw, "key string, field_name string, h long, spans array<int>, names array<int>, marks array<string>")
+    one = drawn.select("key", "field_name", "h", "spans", "names", F.explode_outer("marks").alias("mark"))
+    # a row without a mark gets a term that is none, of its own
+    one = one.withColumn("term", F.coalesce(F.split("mark", " ")[0], F.concat(F.lit(" "), "key")))
+    met = one.join(terms.select("term", F.lit(True).alias("is_term")), "term", "left")
+    whole = met.groupBy("key", "field_name", "h").agg(F.max("spans").alias("spans"), F.max("names").alias("names"), F.collect_set(F.when(F.col("is_term"), F.col("mark"))).alias("marks"))
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, f, *d) for f in fields for k, text in zip(batch["key"], batch[f], strict=True) for d in details(text, known)]
-            yield pd.DataFrame(out, columns=["key", "field_name", "pii_type", "span_start", "span_end"])
+            out = []
+            for spans, names, marks in zip(batch["spans"], batch["names"], batch["marks"], strict=True):
+                spans, names = [int(v) for v in spans], [int(v) for v in names]
+                known = [(w, int(i), int(s), int(e), f == "1", int(h)) for w, i, s, e, f, h in (m.split(" ") for m in marks)]
+                found = finish([(spans[i + 1], spans[i + 2], TYPES[spans[i]]) for i in range(0, len(spans), 3)], list(zip(names[::2], names[1::2], strict=True)), known)
+                out.append([v for k, s, e in found for v in (TYPES.index(k), s, e)])
+            yield pd.DataFrame({"key": batch["key"], "field_name": batch["field_name"], "found": out})
+
+    return whole.mapInPandas(close, "key string, field_name string, found array<int>").where(F.size("found") > 0)
 
-    given = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), *fields)
-    return given.mapInPandas(find, "key string, field_name string, pii_type string, span_start int, span_end int").distinct()
+
+def find_details(rows: DataFrame, key: str, fields: list[str], terms: DataFrame) -> DataFrame:
+    """One row (key, field_name, pii_type, span_start, span_end) for each detail of each field.
+
+    Whole texts are read. Null and empty texts have no rows, null keys neither. A key's rows
+    that repeat give each detail once.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("f")
+    given = rows.select(F.col(key).cast("string").alias("key"), each).select("key", "f.field_name", "f.text")
+    at = F.sequence(F.lit(0), F.size("found") - 1, F.lit(3))
+    one = _details(given, terms).select("key", "field_name", F.explode(F.transform(at, lambda i: F.slice("found", i + 1, 3))).alias("d"))
+    kind = F.array(*[F.lit(t) for t in TYPES])[F.col("d")[0]]
+    return one.select("key", "field_name", kind.alias("pii_type"), F.col("d")[1].alias("span_start"), F.col("d")[2].alias("span_end")).distinct()
 
 
 def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
@@ -251,13 +345,24 @@ def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def sanitise(rows: DataFrame, fields: list[str], terms: dict[str, float]) -> DataFrame:
-    """``rows`` with each field's details replaced by placeholders such as [PHONE]; null stays null."""
-    held = rows.sparkSession.sparkContext.broadcast(terms)
+def sanitise(rows: DataFrame, fields: list[str], terms: DataFrame) -> DataFrame:
+    """``rows`` with each field's details generalised to placeholders such as [PHONE]; null stays null.
 
-    @F.pandas_udf(rows.schema[fields[0]].dataType)
-    def clean(texts: pd.Series) -> pd.Series:
-        known = held.value
-        return pd.Series([redact(t, details(t, known)) for t in texts], dtype=object)
+    Details are found once for each different text and joined back by a digest of the text.
+    """
 
-    return rows.withColumns({f: clean(f) for f in fields})
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for text, at in zip(texts, found, strict=True):
+            at = [] if at is None else [int(v) for v in at]
+            out.append(redact(text, [(TYPES[at[i]], at[i + 1], at[i + 2]) for i in range(0, len(at), 3)]))
+        return pd.Series(out, dtype=object)
+
+    digest = lambda f: F.sha2(F.col(f), 256)
+    texts = rows.select(F.explode(F.array(*fields)).alias("text")).where("text <> ''").select(digest("text").alias("key"), F.lit("").alias("field_name"), "text")
+    found = _details(texts, terms).groupBy("key").agg(F.max("found").alias("found"))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    for i, f in enumerate(fields):
+        packed = packed.withColumn("key", digest(f"row.`{f}`")).join(found.withColumnRenamed("found", f"found_{i}").hint("merge"), "key", "left").drop("key")
+    return packed.select(*[clean(F.col(f"row.`{c}`"), F.col(f"found_{fields.index(c)}")).alias(c) if c in fields else F.col(f"row.`{c}`").alias(c) for c in rows.columns])

@@ -76,7 +76,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_matches(spark, sf_dir).select("listing_id_1", "listing_id_2").distinct()
 
 
-def _texts_with_details(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
+def _texts_with_details(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "clean_khmer24").select("listing_id", "title", "description")
     return rows, revealing_terms(rows.select(F.concat_ws("\n", "title", "description").alias("text")))
 

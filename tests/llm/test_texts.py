@@ -36,20 +36,51 @@ def test_details(text, wanted):
 def test_learned_terms_find_names_without_a_cue(spark):
     texts = [(f"Contact Sova Kesmun at 030 688 {i:04d}. The lobby shows Kamkola stone.",) for i in range(9)] + [("The lobby of Kamkola Park is wide.",)] * 9 + [(None,), ("",)]
     df = spark.createDataFrame(texts, "text string")
-    terms = pii.revealing_terms(df)
+    terms = {r["term"]: r["bits"] for r in pii.revealing_terms(df).collect()}
     assert set(terms) == {"sova", "kesmun"} and all(v > 0 for v in terms.values())
+    assert pii.finish(*pii.outline("KESMUN sova", pii.Sieve(pii.sieve_of(pii.revealing_terms(df))))) == [("name", 0, 11)]
     assert details("a flat of KESMUN sova near Kamkola Park", terms) == [("name", "KESMUN sova")]
     assert details(None or "", terms) == [] and pii.details(None, terms) == []
-    assert pii.revealing_terms(df.limit(0)) == {}
+    assert pii.revealing_terms(df.limit(0)).count() == 0
+
+
+def test_terms_stay_when_texts_are_added(spark):
+    """What is learned from some texts isn't lost among more of another kind."""
+    few = [(f"Contact Sova Kesmun at 030 688 {i:04d}.",) for i in range(4)]
+    more = [(f"The lobby of the tower is wide, with {i} lamps and a quiet garden.",) for i in range(3000)]
+    for texts in (few, few + more):
+        assert {r["term"] for r in pii.revealing_terms(spark.createDataFrame(texts, "text string")).collect()} == {"sova", "kesmun"}
+
+
+PARTS = ["House 12", "no. 5", "# 4", "villa 7b,", "st 24", "street 3a", "Norodom", "Blvd", "avenue", "AVE", "lane", "borey x", "dara.sok", " at ", "@", "(at)", "[AT]", "mail", ".com", " dot ", "[dot]", "test", ", ", " ", "\n", "59 Marvira Road", "ផ្ទះលេខ ១", "ផ្លូវ ៧", "ID card", "passport", "N-3049-3888", "168176760", ", name", " on file"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=8))
+def test_gates_drop_nothing(parts):
+    """What a pattern finds by itself is found behind its gate."""
+    import unittest.mock as mock
+
+    text = "".join(parts)
+    open_gates = {"_EMAILS": tuple((("",), p) for _, p in pii._EMAILS), "_ADDRESSES": tuple((("",), p) for _, p in pii._ADDRESSES), "_ID_PARTS": ("",), "_HOUSE": pii.re.compile("")}
+    behind = pii.fixed_details(text)
+    with mock.patch.multiple(pii, **open_gates):
+        assert pii.fixed_details(text) == behind
+
+
+@pytest.mark.parametrize("text", ["House 12, Norodom Blvd", "No. 5, Sothearos Ave", "dara.sok at mail.com"])
+def test_forms_behind_gates(text):
+    assert [text[s:e] for _, s, e in pii.details(text, {})] == [text]
 
 
 def test_find_and_sanitise(spark):
     df = spark.createDataFrame([("1", "Call 020 585 140 (Borith Bantol).", None), ("1", "Call 020 585 140 (Borith Bantol).", None), ("2", None, "to a@b.test now"), (None, "020 585 140", None), ("3", "", "x" * 50_000 + " 020 585 140")], "id string, title string, description string").withColumn("key", F.lit(1))
-    got = sorted(map(tuple, pii.find_details(df, "id", ["title", "description"], {}).collect()))
+    none = spark.createDataFrame([], "term string, bits double")
+    got = sorted(map(tuple, pii.find_details(df, "id", ["title", "description"], none).collect()))
     assert got == [("1", "title", "name", 18, 31), ("1", "title", "phone", 5, 16), ("2", "description", "email", 3, 11), ("3", "description", "phone", 50_001, 50_012)]
-    clean = {(r["id"], r["title"], (r["description"] or "")[:14]) for r in pii.sanitise(df, ["title", "description"], {}).collect()}
+    clean = {(r["id"], r["title"], (r["description"] or "")[:14]) for r in pii.sanitise(df, ["title", "description"], none).collect()}
     assert ("1", "Call [PHONE] ([NAME]).", "") in clean and ("2", None, "to [EMAIL] now") in clean
-    assert pii.find_details(df.limit(0), "id", ["title"], {}).count() == 0
+    assert pii.find_details(df.limit(0), "id", ["title"], none).count() == 0
 
 
 @needs_vocabulary
