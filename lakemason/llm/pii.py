@@ -16,11 +16,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakemason.llm.sieve import slot_bits
 from lakemason.sources.tables import cut_lineage
 
 #: A term is a name where it discloses this share of the bits that it takes to point at a
@@ -30,7 +30,7 @@ DISCLOSURE = 0.8
 #: ...and where it is protected so often at least: once or twice may be chance.
 LEAST = 3
 #: Slots of the sieve that tells likely terms before they are looked up: fixed, whatever the number of terms.
-SIEVE, SIEVE_PART = 1 << 24, 1 << 12
+SIEVE = 1 << 24
 TYPES = ("email", "id_number", "phone", "address", "name")
 
 # Other digits than ASCII, one code point for one.
@@ -53,26 +53,28 @@ _SPELLED = r"(?:\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
 _LOCAL, _LABEL = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*", r"[A-Za-z0-9-]+"
 # Ends of addresses that tell "x at y.com" from a sentence that lacks a blank.
 _ENDINGS = ("com", "org", "net", "info", "biz", "edu", "gov", "kh", "example", "test")
-#: (what its text must contain one of, in small letters; pattern): each list is of parts that no match can lack.
+#: (pattern, what no match can lack: one of these marks in the text, or one of these words).
 _EMAILS = (
-    (("@", "[at]", "(at)"), re.compile(rf"{_LOCAL}(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?){_LABEL}(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)+", re.I)),
-    (("dot",), re.compile(rf"{_LOCAL}\sat\s{_LABEL}(?:{_DOT}{_LABEL})*?{_SPELLED}[A-Za-z][A-Za-z0-9-]*(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)*", re.I)),
-    (tuple(f".{e}" for e in _ENDINGS), re.compile(rf"{_LOCAL}\sat\s{_LABEL}(?:\.{_LABEL})*?\.(?:{'|'.join(_ENDINGS)})(?![\w-])", re.I)),
+    (re.compile(rf"{_LOCAL}(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?){_LABEL}(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)+", re.I), ("@", "[at]", "(at)"), frozenset()),
+    (re.compile(rf"{_LOCAL}\sat\s{_LABEL}(?:{_DOT}{_LABEL})*?{_SPELLED}[A-Za-z][A-Za-z0-9-]*(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)*", re.I), (), frozenset(["dot"])),
+    (re.compile(rf"{_LOCAL}\sat\s{_LABEL}(?:\.{_LABEL})*?\.(?:{'|'.join(_ENDINGS)})(?![\w-])", re.I), (), frozenset(_ENDINGS)),
 )
 _ID = re.compile(r"[A-Z]-?\d{4}-?\d{3,4}(?!\w)|\d{3}[ -]?\d{3}[ -]?\d{3}(?:\s?\(\d{1,2}\))?(?!\w)", re.I)
 _ID_LABEL = re.compile(r"id card|identity card|passport|អត្តសញ្ញាណប័ណ្ណ|លិខិតឆ្លងដែន|身份证|护照", re.I)
 #: No label lacks all of these.
 _ID_PARTS = ("card", "passport", "អត្ត", "លិខិត", "证", "护照")
+#: What follows a number that is told by what follows: no match lacks all of these.
+_ID_ENDS = (" name", " on file")
 _ID_GAP = re.compile(r"(?:លេខ|号码|号|no\.?|number)?[\s::#]*", re.I)
 _ID_TAIL = re.compile(r"(?<![\w+.-])([A-Z]-?\d{4}-?\d{3,4}|\d{3}[ -]?\d{3}[ -]?\d{3}(?:\s?\(\d{1,2}\))?)(?=\s?,? (?:name|on file)\b)", re.I)
 _ROAD = "road|boulevard|avenue|blvd|ave|street|lane"
+_ROADS, _LABELS = frozenset(["st", *_ROAD.split("|")]), frozenset(["no", "house", "villa"])
+#: (pattern, marks or words of which no match can lack one, and words of which it can't lack one beside).
 _ADDRESSES = (
-    # a house number behind its label begins with one of few characters, which the search skips to
-    (("street", "st", *_ROAD.split("|")), re.compile(r"(?:(?<!\w)(?:no\.?|house|villa)\s*|(?<![\w#])#\s?)\d+[a-z]?\d*,?\s+(?:(?:lane|borey)\s+\w+,?\s+)*(?:(?:street|st\.?)\s*\d+[a-z]?(?!\w)|[a-z]+\s+(?:" + _ROAD + r")(?!\w))", re.I)),
-    (("road", "boulevard", "avenue"), re.compile(r"(?<![\w$,.#])\d+[a-z]?\s+[a-z]{4,}\s+(?:road|boulevard|avenue)(?!\w)", re.I)),
-    (("ផ្ទះ",), re.compile(r"(?<![\w#])ផ្ទះ(?:លេខ)?\s*\d+[a-z]?\s*,?\s*ផ្លូវ(?:លេខ)?\s*\d+", re.I)),
+    (re.compile(r"(?:(?<!\w)(?:no\.?|house|villa)\s*|(?<![\w#])#\s?)\d+[a-z]?\d*,?\s+(?:(?:lane|borey)\s+\w+,?\s+)*(?:(?:street|st\.?)\s*\d+[a-z]?(?!\w)|[a-z]+\s+(?:" + _ROAD + r")(?!\w))", re.I), ("#",), _LABELS, _ROADS),
+    (re.compile(r"(?<![\w$,.#])\d+[a-z]?\s+[a-z]{4,}\s+(?:road|boulevard|avenue)(?!\w)", re.I), (), frozenset(["road", "boulevard", "avenue"]), None),
+    (re.compile(r"(?<![\w#])ផ្ទះ(?:លេខ)?\s*\d+[a-z]?\s*,?\s*ផ្លូវ(?:លេខ)?\s*\d+", re.I), ("ផ្ទះ",), frozenset(), None),
 )
-_HOUSE = re.compile(r"(?:no|no\.|house|villa|#)\s*\d", re.I)
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+|[ក-៓ៜ៝]+|[一-鿿]+")
 _LATIN_NAME = re.compile(r"[\s:]*((?:[A-Z]\.\s?)?[A-Z][A-Za-z]{2,}(?:\s+[A-Z][A-Za-z]{2,})?|[A-Z]\.\s?[A-Z][A-Za-z]{2,})")
 _KHMER_NAME = re.compile(r"[\s:]*([ក-៓]+(?:\s+[ក-៓]+)?)(?=\s*(?:លេខ|។|,|$))")
@@ -96,8 +98,15 @@ def phones(plain: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(plain) if not _CODE_BEFORE.search(plain, max(0, m.start() - 14), m.start())]
 
 
-def fixed_details(text: str) -> tuple[str, list[tuple[int, int, str]]]:
-    """(text with ASCII digits, spans of mail addresses, identity numbers, phones and addresses)."""
+def _may(low: str, seen: set[str], marks: tuple[str, ...], words: frozenset[str]) -> bool:
+    return not words.isdisjoint(seen) or any(mark in low for mark in marks)
+
+
+def fixed_details(text: str, seen: set[str]) -> tuple[str, list[tuple[int, int, str]]]:
+    """(text with ASCII digits, spans of mail addresses, identity numbers, phones and addresses).
+
+    seen: the text's _plain_words. A pattern is searched for where the text has what no match can lack.
+    """
     plain = ascii_digits(text)
     spans: list[tuple[int, int, str]] = []
 
@@ -106,20 +115,21 @@ def fixed_details(text: str) -> tuple[str, list[tuple[int, int, str]]]:
             spans.append((start, end, kind))
 
     low = plain.lower()
-    for parts, pattern in _EMAILS:
-        if any(part in low for part in parts):
+    for pattern, marks, words in _EMAILS:
+        if _may(low, seen, marks, words):
             for m in pattern.finditer(plain):
                 add(m.start(), m.end(), "email")
-    for m in _ID_LABEL.finditer(plain) if any(part in low for part in _ID_PARTS) else ():
-        if v := _ID.match(plain, _ID_GAP.match(plain, m.end()).end()):
-            add(v.start(), v.end(), "id_number")
-    if "name" in low or "on file" in low:
+    if any(part in low for part in _ID_PARTS):
+        for m in _ID_LABEL.finditer(plain):
+            if v := _ID.match(plain, _ID_GAP.match(plain, m.end()).end()):
+                add(v.start(), v.end(), "id_number")
+    if any(end in low for end in _ID_ENDS):
         for m in _ID_TAIL.finditer(plain):
             add(m.start(1), m.end(1), "id_number")
     for start, end in phones(plain):
         add(start, end, "phone")
-    for k, (parts, pattern) in enumerate(_ADDRESSES):
-        if any(part in low for part in parts) and (k or _HOUSE.search(plain)):
+    for pattern, marks, words, beside in _ADDRESSES:
+        if (beside is None or not beside.isdisjoint(seen)) and _may(low, seen, marks, words):
             for m in pattern.finditer(plain):
                 add(m.start(), m.end(), "address")
     return plain, spans
@@ -181,8 +191,9 @@ def learn_terms(texts: DataFrame) -> DataFrame:
                 n += 1
                 words = _plain_words(text)
                 total.update(words)
-                places = [] if _TRIGGERS.isdisjoint(words) else _words(text)
-                for s, e in cued_names(text, places, fixed_details(text)[1]):
+                seen = set(words)
+                places = [] if _TRIGGERS.isdisjoint(seen) else _words(text)
+                for s, e in cued_names(text, places, fixed_details(text, seen)[1]):
                     protected.update(w.lower() for w, _, _ in _words(text[s:e]) if len(w) > 1)
             if len(total) > 500_000:
                 yield _counts(total, protected, n)
@@ -212,13 +223,8 @@ def revealing_terms(texts: DataFrame) -> DataFrame:
 
 
 def sieve_of(terms: DataFrame) -> bytes:
-    """A bit for each slot that a term falls into: a fixed size, gathered in parts of bits."""
-    slot = F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(SIEVE))
-    parts = terms.select(slot.alias("s")).groupBy((F.col("s") / SIEVE_PART).cast("int").alias("part")).agg(F.collect_set(F.pmod("s", F.lit(SIEVE_PART)).cast("short")).alias("on"))
-    bits = np.zeros(SIEVE, bool)
-    for row in parts.toLocalIterator():
-        bits[row["part"] * SIEVE_PART + np.array(row["on"], np.int64)] = True
-    return np.packbits(bits).tobytes()
+    """A bit for each slot that a term falls into."""
+    return slot_bits(terms.select(F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(SIEVE)).alias("slot")), SIEVE)
 
 
 class Sieve:
@@ -233,7 +239,7 @@ class Sieve:
             if len(self.seen) > 200_000:
                 self.seen.clear()
             slot = zlib.crc32(word.encode("utf-8", "replace")) % SIEVE
-            hit = self.seen[word] = bool(self.bits[slot >> 3] >> (7 - slot % 8) & 1)
+            hit = self.seen[word] = bool(self.bits[slot >> 3] >> slot % 8 & 1)
         return hit
 
 
@@ -246,8 +252,8 @@ def outline(text: str, likely) -> tuple[list[tuple[int, int, str]], list[tuple[i
     A mark is (word in small letters, its number, start, end, does it follow the word before
     with only blanks between?, start with an initial before it).
     """
-    plain, spans = fixed_details(text)
     seen = set(_plain_words(text))
+    _, spans = fixed_details(text, seen)
     hits = {w for w in seen if w in likely}
     words = _words(text) if hits or not _TRIGGERS.isdisjoint(seen) else []
     marks = []

@@ -62,10 +62,10 @@ def test_gates_drop_nothing(parts):
     import unittest.mock as mock
 
     text = "".join(parts)
-    open_gates = {"_EMAILS": tuple((("",), p) for _, p in pii._EMAILS), "_ADDRESSES": tuple((("",), p) for _, p in pii._ADDRESSES), "_ID_PARTS": ("",), "_HOUSE": pii.re.compile("")}
-    behind = pii.fixed_details(text)
-    with mock.patch.multiple(pii, **open_gates):
-        assert pii.fixed_details(text) == behind
+    seen = set(pii._plain_words(text))
+    behind = pii.fixed_details(text, seen)
+    with mock.patch.multiple(pii, _may=lambda *_: True, _ID_PARTS=("",), _ID_ENDS=("",), _ADDRESSES=tuple((p, m, w, None) for p, m, w, _ in pii._ADDRESSES)):
+        assert pii.fixed_details(text, seen) == behind
 
 
 @pytest.mark.parametrize("text", ["House 12, Norodom Blvd", "No. 5, Sothearos Ave", "dara.sok at mail.com"])
@@ -141,6 +141,19 @@ def test_leaks(spark):
     assert leakage.find_leaks(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_among_many_items(spark):
+    """Facts told by rarity over all items; what is found of one item stays when others are added."""
+    rng = random.Random(5)
+    pick = lambda: f"{rng.choice(['Kol', 'Ran', 'Dor', 'Sil'])}{rng.choice(['par', 'sel', 'tin', 'ma'])}{rng.choice(['va', 'ra', 'na', 'so'])}"
+    make = lambda i: f"The surveyor {pick()} walked along {pick()} Canal on {i % 28 + 1} March and noted {i} plots whose markers stood off the line, whereas agent {pick()} promised the river to a buyer named {pick()}. How many dollars does the investor finally pay for lot {i * 7}?"
+    texts = [ITEM] + [make(i) for i in range(130)]
+    docs = spark.createDataFrame([(1, f"{NOISE} {ITEM}"), (2, f"{NOISE} {texts[40]} {NOISE}"), (3, OTHER), (4, f"{NOISE} How many dollars does the investor finally pay for lot 9?")], "doc_id long, text string")
+    for n in (1, 41, 131):
+        items = spark.createDataFrame(list(enumerate(texts[:n])), "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
+        assert got == {(1, 0)} | ({(2, 40)} if n > 40 else set())
+
+
 @pytest.mark.parametrize(
     "units",
     [
