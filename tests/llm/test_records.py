@@ -110,10 +110,29 @@ def test_survivors(spark):
     held = survivor.long_form(df, "g", {"f": F.col("v")}, F.col("trust"), F.try_to_timestamp("at"))
     got = {r["grp"]: (r["value"], r["basis"]) for r in survivor.survivors(held).collect()}
     assert got["g1"] == ("2", "trust_time") and got["g2"] == ("3", "trust_time") and got["g3"] == ("7", "single") and "g4" not in got and None not in got
-    assert got["u"] == ("new", "precedence") and got["t0"] == ("new", "trust_time") and got["v"] == ("p", "precedence")
+    assert got["u"] == ("new", "precedence") and got["t0"] == ("new", "trust_time") and got["v"] == ("p", "tie")
     assert survivor.survivors(held.limit(0)).count() == 0
 
 
+def test_latest_by_partial_orders(spark):
+    """Groups without times: the values' order is learned from groups with times."""
+    chains = [(f"c{i}", 5, f"2024-0{k + 1}-01", v) for i in range(4) for k, v in enumerate("abc")]
+    rings = [(f"{pair}{i}", 5, f"2024-0{k + 1}-01", v) for i in range(3) for pair in ("xy", "yz", "zx") for k, v in enumerate(pair)]
+    undated = [("u1", 5, None, v) for v in "bca"] + [("u2", 5, None, v) for v in "ab"] + [("u3", 5, None, v) for v in "xyz"] + [("u4", 5, None, v) for v in "qp"] + [("u5", 5, "2024-01-01", "c"), ("u5", 5, None, "a"), ("u6", 5, "2024-01-01", "a"), ("u6", 5, None, "b"), ("u7", 9, None, "a"), ("u7", 5, None, "c")]
+    df = spark.createDataFrame(chains + rings + undated, "g string, trust int, at string, v string")
+    held = survivor.long_form(df, "g", {"f": F.col("v")}, F.col("trust"), F.try_to_timestamp("at"))
+    got = {r["grp"]: (r["value"], r["basis"]) for r in survivor.survivors(held).collect()}
+    want = {"u1": ("c", "precedence"), "u2": ("b", "precedence"), "u3": ("x", "precedence"), "u4": ("p", "tie"), "u6": ("b", "precedence"), "u7": ("a", "trust_time")}
+    assert {g: got[g] for g in want} == want and got["u5"][0] == "c"
+
+
+def test_transitions_over_slices(spark):
+    """Steps from one slice of time into the next count as those within one."""
+    df = spark.createDataFrame([("g", 1, f"2024-{m:02d}-{d:02d}", v) for m, d, v in ((1, 1, "a"), (1, 2, "b"), (3, 1, "b"), (6, 1, "c"), (6, 1, "b"), (9, 1, None))], "g string, trust int, at string, v string")
+    held = survivor.long_form(df, "g", {"f": F.col("v")}, F.col("trust"), F.try_to_timestamp("at"))
+    assert {(r["older"], r["newer"], r["wins"]) for r in survivor.learn_transitions(held).collect()} == {("a", "b", 1), ("b", "c", 1)}
+
+
 WORDS = [f"{a}{b}{c}" for a in ("vor", "lum", "sil", "tan") for b in ("phea", "tola", "rith", "mony") for c in ("n", "ka", "s", "vi", "dor")]
 
 

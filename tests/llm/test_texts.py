@@ -144,8 +144,8 @@ def test_leaks(spark):
 def test_leaks_among_many_items(spark):
     """Facts told by rarity over all items; what is found of one item stays when others are added."""
     rng = random.Random(5)
-    pick = lambda: f"{rng.choice(['Kol', 'Ran', 'Dor', 'Sil'])}{rng.choice(['par', 'sel', 'tin', 'ma'])}{rng.choice(['va', 'ra', 'na', 'so'])}"
-    make = lambda i: f"The surveyor {pick()} walked along {pick()} Canal on {i % 28 + 1} March and noted {i} plots whose markers stood off the line, whereas agent {pick()} promised the river to a buyer named {pick()}. How many dollars does the investor finally pay for lot {i * 7}?"
+    pick = lambda: f"{rng.choice(['Kol', 'Ran', 'Dor', 'Sil'])}{rng.choice(['par', 'sel', 'tin', 'ma'])}{rng.choice(['va', 'ra', 'na', 'so'])}{''.join(rng.choices('bdgklmnprstv', k=3))}"
+    make = lambda i: f"The surveyor {pick()} walked along the canal of {pick()} on day {i % 28 + 1} and noted {i} plots whose markers stood off the line, whereas agent {pick()} promised the river to a buyer named {pick()}. How many dollars does the investor finally pay for lot {i * 7}?"
     texts = [ITEM] + [make(i) for i in range(130)]
     docs = spark.createDataFrame([(1, f"{NOISE} {ITEM}"), (2, f"{NOISE} {texts[40]} {NOISE}"), (3, OTHER), (4, f"{NOISE} How many dollars does the investor finally pay for lot 9?")], "doc_id long, text string")
     for n in (1, 41, 131):
