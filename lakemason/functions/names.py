@@ -6,6 +6,8 @@ Pure Python on purpose: it runs over *distinct* values only, inside Arrow batche
 from __future__ import annotations
 
 import unicodedata
+
+import numpy as np
 import regex
 
 # Digits of the Khmer script, and marks without width.
@@ -82,19 +84,30 @@ class Pattern:
         return 1 - self.distance(other) / longer
 
 
+def bigrams(text: str) -> set[str]:
+    return {text[i : i + 2] for i in range(len(text) - 1)}
+
+
 class Gazetteer:
     """Canonical names with aliases; resolves a typed value by token-set likeness.
 
-    A value and an alias must carry the same numbers. Likeness is the better of the
-    joined letters' edit likeness (catches moved or lost blanks) and a token-set score
-    (each token paired with its closest partner, weighted by length).
+    A value and an alias must carry the same numbers, and SHARED of the pairs of letters of
+    the shorter, and at least half as many as the alias that has most of the value's pairs:
+    an index over these gives the aliases that a value is compared with. Each
+    word is paired with its closest partner, weighted by length; where the numbers of words
+    differ, the joined letters are compared too (a blank may be lost or moved).
     """
 
+    #: Share of the shorter one's pairs of letters that value and alias must have in common.
+    SHARED = 0.25
+
     def __init__(self, pairs, threshold: float = 0.55, margin: float = 0.05) -> None:
         self.threshold, self.margin = threshold, margin
         self.exact: dict[str, str | None] = {}
         self._known: dict[tuple[str, ...], tuple[tuple[str, float], ...]] = {}
-        self.entries: list[tuple[str, tuple[str, ...], Pattern, list[Pattern]]] = []
+        self.entries: list[tuple[str, Pattern, list[Pattern]]] = []
+        index: dict[tuple[str, ...], dict[str, list[int]]] = {}
+        sizes: list[int] = []
         for raw, standard in sorted((r, s) for r, s in pairs if r and s):
             words = self.words(raw)
             key = " ".join(words)
@@ -103,7 +116,14 @@ class Gazetteer:
             if self.exact.setdefault(key, standard) != standard:
                 self.exact[key] = None  # an alias of two entries stands for neither
             letters = [w for w in words if not w.isdigit()]
-            self.entries.append((standard, self.numbers(words), Pattern("".join(letters)), [Pattern(w) for w in letters]))
+            joined = "".join(letters)
+            places = index.setdefault(self.numbers(words), {})
+            for pair in bigrams(joined):
+                places.setdefault(pair, []).append(len(self.entries))
+            sizes.append(len(bigrams(joined)))
+            self.entries.append((standard, Pattern(joined), [Pattern(w) for w in letters]))
+        self.sizes = np.array(sizes, np.int64)
+        self.index = {n: {p: np.array(v, np.int64) for p, v in places.items()} for n, places in index.items()}
 
     @staticmethod
     def words(value: str, camel: bool = True) -> list[str]:
@@ -131,22 +151,32 @@ class Gazetteer:
         if words in self._known:
             return self._known[words]
         best: dict[str, float] = {}
-        numbers, letters = self.numbers(words), [w for w in words if not w.isdigit()]
+        letters = [w for w in words if not w.isdigit()]
         joined = "".join(letters)
         if len(joined) >= 3:
-            for standard, wanted, whole, parts in self.entries:
-                if wanted != numbers:
-                    continue
-                score = whole.likeness(joined, max(self.threshold - 0.1, best.get(standard, 0.0)))
-                if 0 < score < 0.85 and len(parts) > 1:
-                    score = max(score, self._token_set(parts, letters, len(whole.text), len(joined)))
-                if score > best.get(standard, 0.0):
+            for k in self._near(self.numbers(words), bigrams(joined)):
+                standard, whole, parts = self.entries[k]
+                floor = max(self.threshold - 0.1, best.get(standard, 0.0))
+                score = self._token_set(parts, letters, len(whole.text), len(joined))
+                if len(parts) != len(letters):
+                    score = max(score, whole.likeness(joined, floor))
+                if score > floor:
                     best[standard] = score
         if len(self._known) > 20_000:
             self._known.clear()
         self._known[words] = tuple(best.items())
         return self._known[words]
 
+    def _near(self, numbers: tuple[str, ...], pairs: set[str]) -> list[int]:
+        """The aliases with enough pairs of letters in common, in order."""
+        places = self.index.get(numbers, {})
+        held = [places[p] for p in pairs if p in places]
+        if not held:
+            return []
+        found, shared = np.unique(np.concatenate(held), return_counts=True)
+        enough = np.maximum(self.SHARED * np.minimum(self.sizes[found], len(pairs)), shared.max() / 2)
+        return found[shared >= enough].tolist()
+
     def decide(self, ranked) -> str | None:
         """The first of the ranked names, unless it is too far or the second is as close."""
         if not ranked or ranked[0][1] < self.threshold:
