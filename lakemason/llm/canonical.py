@@ -41,17 +41,16 @@ class MentionGazetteer(Gazetteer):
         return taken
 
     def ranked(self, value: str) -> list[tuple[str, float]]:
-        found = self.mentions(value)
-        if found:
-            return [(found[0][2], 1.0)]
-        return super().ranked(value)
+        """A mentioned name with likeness 1, the first two where several are; else by likeness."""
+        named = list(dict.fromkeys(standard for _, _, standard in self.mentions(value)))
+        return [(standard, 1.0) for standard in named[:2]] or super().ranked(value)
 
 
 def canonicalise(rows: DataFrame, key: str, value: str, mapping: DataFrame, raw: str = "raw_name", standard: str = "standard_name") -> DataFrame:
     """One row (key, value, standard, likeness) for each distinct key and non-null value.
 
     ``standard`` is ``UNMATCHED`` where the value stands for no entry: blank values, words
-    that name no place, and values as close to two entries. Null values give no row. An
+    that name no place, values that mention two entries, and values as close to two. Null values give no row. An
     empty list leaves everything unmatched. Rows that repeat key and value count once.
     Every distinct value is resolved once, so a value held by a third of all rows costs one
     look-up; the join back is by value, where the adaptive planner splits a hot value.
