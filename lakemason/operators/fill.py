@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SLICE_SECONDS = 7 * 86_400.0
 
 
-def fill_in_time(rows: DataFrame, entity: str, order: Column, fields: dict[str, str], usable: dict[str, Column] | None = None, gap: dict[str, float] | None = None, slice_width: float = SLICE_SECONDS) -> DataFrame:
+def fill_in_time(rows: DataFrame, entity: str, order: Column, fields: dict[str, str], usable: dict[str, Column] | None = None, gap: dict[str, float] | None = None, slice_width: float = SLICE_SECONDS, undated: bool = False) -> DataFrame:
     """``rows`` with ``<field>_filled``, ``<field>_method`` and ``<field>_distance`` added.
 
     fields: name -> "number" or "category". order: seconds, or any number that grows with
@@ -25,6 +25,9 @@ def fill_in_time(rows: DataFrame, entity: str, order: Column, fields: dict[str,
     method ``observed`` and distance 0. A null number with neighbours on both sides is
     ``interpolated``, with one it is ``carried``; a category is ``carried`` from the nearer
     neighbour, the earlier on ties. Without a neighbour it stays null, method ``none``.
+    undated: records without a place in the order supply their entity's rows that have no
+    neighbour (the greatest value counts), and get the latest value of their entity: method
+    ``undated``, and no distance, as there is none.
     Columns of ``rows`` stay, but for those of the added names. Null entities are nobody's records. Neighbours of one instant: the greatest value counts.
     """
     usable, gap = usable or {}, gap or {}
@@ -34,8 +37,9 @@ def fill_in_time(rows: DataFrame, entity: str, order: Column, fields: dict[str,
     placed = t.isNotNull() & F.col(entity).isNotNull()
     seen = []
     for f in fields:
-        can = placed & F.col(f).isNotNull() & F.coalesce(usable.get(f, F.lit(True)), F.lit(False))
-        seen.append(F.when(can, F.struct(t.alias("t"), F.col(f).alias("v"))).alias(f"_o_{f}"))
+        can = F.col(entity).isNotNull() & F.col(f).isNotNull() & F.coalesce(usable.get(f, F.lit(True)), F.lit(False))
+        seen.append(F.when(can & placed, F.struct(t.alias("t"), F.col(f).alias("v"))).alias(f"_o_{f}"))
+        seen.append(F.when(can & ~placed, F.col(f)).alias(f"_u_{f}"))
     base = rows.select(packed, F.col(entity).alias("_e"), t.alias("_t"), F.floor(t / F.lit(slice_width)).alias("_slice"), *seen)
     ends = base.where("_e is not null and _t is not null").groupBy("_e", "_slice").agg(
         *[F.max(f"_o_{f}").alias(f"_last_{f}") for f in fields], *[F.min(f"_o_{f}").alias(f"_first_{f}") for f in fields]
@@ -53,6 +57,9 @@ def fill_in_time(rows: DataFrame, entity: str, order: Column, fields: dict[str,
         sides.append(F.coalesce(F.last(f"_o_{f}", True).over(up_to), F.col(f"_p_{f}")).alias(f"_b_{f}"))
         sides.append(F.coalesce(F.first(f"_o_{f}", True).over(on), F.col(f"_n_{f}")).alias(f"_a_{f}"))
     out = base.select("_row", "_e", "_t").join(joined.select("_e", "_t", *sides), ["_e", "_t"], "left")
+    if undated:
+        free = base.where("_e is not null").groupBy("_e").agg(*[F.max(f"_u_{f}").alias(f"_free_{f}") for f in fields], *[F.max(f"_o_{f}")["v"].alias(f"_late_{f}") for f in fields])
+        out = out.join(free, "_e", "left")
     # distances first, null where a side has no neighbour within the gap; then the values from them
     for f in fields:
         within = (lambda d, limit=gap.get(f): d) if gap.get(f) is None else (lambda d, limit=gap.get(f): F.when(d <= limit, d))
@@ -65,6 +72,9 @@ def fill_in_time(rows: DataFrame, entity: str, order: Column, fields: dict[str,
         if kind == "number":
             value = F.coalesce(earlier + (later - earlier) * F.try_divide(db, db + da), carry)
             method = F.when((db + da).isNotNull(), "interpolated").otherwise(method)
+        if undated:
+            rest = F.coalesce(F.col(f"_free_{f}"), F.when(F.col("_t").isNull(), F.col(f"_late_{f}")))
+            value, method = F.coalesce(value, rest), F.when((method == "none") & rest.isNotNull(), "undated").otherwise(method)
         own = F.col(f"_row.`{f}`")
         held = own.isNotNull()
         picks += [F.coalesce(own, value).alias(f"{f}_filled"), F.when(held, "observed").otherwise(method).alias(f"{f}_method"), F.when(held, 0.0).otherwise(F.least(db, da)).alias(f"{f}_distance")]

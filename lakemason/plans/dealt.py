@@ -11,6 +11,11 @@ from lakemason.operators.lookup import resolve_values
 from lakemason.sources.tables import table
 
 NEAR_M = 750.0
+#: Seconds over which a building's district, and the name of the project at an address, may be
+#: carried: buildings keep theirs for decades, renaming is rare.
+DISTRICT_GAP = NAME_GAP = 10 * 365.25 * 86_400
+#: Order in which coordinates were delivered: the table has no time, so fills get no distance.
+DELIVERIES = 1000.0
 
 
 def name_key(name: Column) -> Column:
@@ -34,33 +39,33 @@ def _adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "clean_khmer24").where(F.col("listing_id").isNotNull())
     seconds = F.unix_timestamp(F.try_to_timestamp("scraped_at"))
     one = rows.groupBy("listing_id").agg(F.max("project_name").alias("project_name"), F.max("district").alias("district"), F.max("address").alias("address"), F.max(seconds).alias("t"))
-    return one.select("listing_id", "district", "project_name", name_key(F.col("project_name")).alias("project"), name_key(F.col("address")).alias("place"), F.coalesce("t", F.lit(0)).cast("double").alias("t"))
+    return one.select("listing_id", "district", "project_name", name_key(F.col("project_name")).alias("project"), name_key(F.col("address")).alias("place"), F.col("t").cast("double").alias("t"))
 
 
 def _coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "validated_project_coordinates")
-    return rows.select("coord_id", "district", "latitude", "longitude", name_key(F.col("project_name")).alias("project"), F.col("coord_id").cast("double").alias("t"))
+    return rows.select("coord_id", "district", "latitude", "longitude", name_key(F.col("project_name")).alias("project"))
 
 
 def _marked(filled: DataFrame, table_name: str, record: str, field: str, value: Column) -> DataFrame:
     method, distance = F.col(f"{field}_method"), F.col(f"{field}_distance")
-    return filled.where(method.isin("carried", "interpolated")).select(F.lit(table_name).alias("table_name"), F.col(record).cast("string").alias("record_id"), F.lit(field).alias("field_name"), value.alias("filled_value"), method.alias("method"), distance.alias("distance"))
+    return filled.where(method.isin("carried", "interpolated", "undated")).select(F.lit(table_name).alias("table_name"), F.col(record).cast("string").alias("record_id"), F.lit(field).alias("field_name"), value.alias("filled_value"), method.alias("method"), distance.alias("distance"))
 
 
 def _coordinate_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latitude and longitude of records whose project's complete records all agree."""
+    """Latitude and longitude of records whose project's complete records all agree, in the order of delivery."""
     rows = _coordinates(spark, sf_dir).where(F.col("project").isNotNull())
     micro = lambda c: F.round(F.col(c) * 1e6).cast("long")
     rows = rows.withColumn("lat6", micro("latitude")).withColumn("lon6", micro("longitude"))
     both = F.when(F.col("lat6").isNotNull() & F.col("lon6").isNotNull(), F.struct("lat6", "lon6"))
     open_ = rows.join(unanimous(rows, "project", both), "project")
     complete = both.isNotNull()
-    named = open_.select("coord_id", "project", "t", "agreed", F.col("lat6").cast("double").alias("latitude"), F.col("lon6").cast("double").alias("longitude"), complete.alias("complete"))
-    filled = fill_in_time(named, "project", F.col("t"), {"latitude": "number", "longitude": "number"}, {f: F.col("complete") for f in ("latitude", "longitude")})
+    named = open_.select("coord_id", "project", "agreed", F.col("lat6").cast("double").alias("latitude"), F.col("lon6").cast("double").alias("longitude"), complete.alias("complete"))
+    filled = fill_in_time(named, "project", F.col("coord_id"), {"latitude": "number", "longitude": "number"}, {f: F.col("complete") for f in ("latitude", "longitude")}, slice_width=DELIVERIES, undated=True)
     out = None
     for field, at in (("latitude", "lat6"), ("longitude", "lon6")):
         value = F.round(f"{field}_filled").cast("long")
-        part = _marked(filled.where(value == F.col(f"agreed.{at}")), "validated_project_coordinates", "coord_id", field, value.cast("string"))
+        part = _marked(filled.where(value == F.col(f"agreed.{at}")), "validated_project_coordinates", "coord_id", field, value.cast("string")).withColumn("distance", F.lit(None).cast("double"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -70,26 +75,29 @@ def _name_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _adverts(spark, sf_dir).where(F.col("place").isNotNull())
     rows = rows.select("listing_id", "place", "t", F.col("project").alias("project_name"))
     open_ = rows.join(majority(rows, "place", F.col("project_name")), "place")
-    filled = fill_in_time(open_, "place", F.col("t"), {"project_name": "category"}, {"project_name": F.col("project_name") == F.col("agreed")})
+    filled = fill_in_time(open_, "place", F.col("t"), {"project_name": "category"}, {"project_name": F.col("project_name") == F.col("agreed")}, {"project_name": NAME_GAP}, undated=True)
     return _marked(filled.where(F.col("project_name_filled") == F.col("agreed")), "clean_khmer24", "listing_id", "project_name", F.col("project_name_filled"))
 
 
 def _district_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Districts of adverts whose project's records, in both tables, all stand for the same one."""
+    """Districts of adverts whose project's records, in both tables, all stand for the same one.
+
+    Adverts share one clock; coordinates have none, and supply what no advert supplies.
+    """
     adverts = _adverts(spark, sf_dir).select(F.col("listing_id").alias("record_id"), "project", "t", "district", F.lit("clean_khmer24").alias("table_name"))
-    records = _coordinates(spark, sf_dir).select(F.col("coord_id").cast("string").alias("record_id"), "project", "t", "district", F.lit("validated_project_coordinates").alias("table_name"))
+    records = _coordinates(spark, sf_dir).select(F.col("coord_id").cast("string").alias("record_id"), "project", F.lit(None).cast("double").alias("t"), "district", F.lit("validated_project_coordinates").alias("table_name"))
     rows = adverts.unionByName(records).where(F.col("project").isNotNull())
     names = resolve_values(table(spark, sf_dir, "clean_khmer24").select("district").unionByName(table(spark, sf_dir, "validated_project_coordinates").select("district")), "district", table(spark, sf_dir, "district_mapping"), "raw_name", "standard_name")
     known = rows.join(names.select(F.col("value").alias("district"), F.col("standard").alias("meant")), "district", "left")
     known = known.select("record_id", "table_name", "project", "t", F.col("district").isNull().alias("blank"), F.col("meant").alias("district"))
     open_ = known.join(unanimous(known, "project", F.col("district")), "project")
-    filled = fill_in_time(open_, "project", F.col("t"), {"district": "category"})
+    filled = fill_in_time(open_, "project", F.col("t"), {"district": "category"}, gap={"district": DISTRICT_GAP}, undated=True)
     wanted = filled.where(F.col("blank") & (F.col("table_name") == "clean_khmer24") & (F.col("district_filled") == F.col("agreed")))
     return _marked(wanted, "clean_khmer24", "record_id", "district", F.col("district_filled"))
 
 
 def p7_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All filled values, each with the method and the distance to the record it came from."""
+    """All filled values, each with the method and the distance in seconds to the record it came from, where both have a time."""
     return _district_fills(spark, sf_dir).unionByName(_name_fills(spark, sf_dir)).unionByName(_coordinate_fills(spark, sf_dir))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakemason.operators import modelling as M
 from lakemason.operators.profile import regression_metrics
-from lakemason.sources.tables import table
+from lakemason.sources.tables import shared_folder, table
 from lakemason.streaming.upsert import latest, upsert_stream
 
 NUMBERS, WORDS = ["l_quantity", "p_size"], ["p_brand", "l_returnflag"]
@@ -68,7 +67,7 @@ def factor_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_store(spark: SparkSession, sf: str) -> DataFrame:
     """A keyed store of a user's latest event, kept up by a stream over the events' files."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}") + f"/store-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     source = table(spark, sf, "events")
     source.write.parquet(f"{root}/landing")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/landing")

@@ -78,6 +78,16 @@ def test_fill_against_a_plain_loop(spark):
             assert (r["c_filled"] is None) == (not near) and (not near or r["c_distance"] == min(near)[0])
 
 
+def test_fill_of_undated_rows(spark):
+    """Rows without a time take no part in its order: they supply what no other does, and get the latest value."""
+    rows = [("a", 1, 0.0, "x"), ("a", 2, 10.0, None), ("a", 3, None, None), ("a", 4, None, "z"), ("b", 5, None, "y"), ("b", 6, 5.0, None), ("b", 7, None, None), (None, 8, None, "w"), ("c", 9, 1.0, None)]
+    df = spark.createDataFrame(rows, "e string, id long, t double, v string")
+    got = {r["id"]: (r["v_filled"], r["v_method"], r["v_distance"]) for r in fill.fill_in_time(df, "e", F.col("t"), {"v": "category"}, undated=True).collect()}
+    assert got[2] == ("x", "carried", 10.0) and got[3] == ("z", "undated", None) and got[6] == ("y", "undated", None) and got[7] == ("y", "undated", None) and got[9] == (None, "none", None)
+    near = {r["id"]: r["v_filled"] for r in fill.fill_in_time(df, "e", F.col("t"), {"v": "category"}, gap={"v": 5.0}).collect()}
+    assert near[2] is None and near[3] is None
+
+
 def test_fill_keeps_clashing_columns_and_empty_tables(spark):
     df = spark.createDataFrame([("a", 1.0, None, "p", 7), ("a", 2.0, "x", "q", 8)], "e string, _t double, c string, _e string, _row int")
     got = fill.fill_in_time(df, "e", F.col("_t"), {"c": "category"}).orderBy("_t").collect()
