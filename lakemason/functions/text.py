@@ -246,7 +246,7 @@ def stated_total(c: Column, patterns: list[str], low: int = 5, high: int = 200_0
 
 
 def short_usd(c: Column) -> Column:
-    return F.when(c >= 1e6, F.format_string("$%.1fM", c / 1e6)).when(c >= 1e3, F.format_string("$%.1fK", c / 1e3)).otherwise(F.format_string("$%.0f", c.cast("double")))
+    return F.when(c >= 1e6, F.format_string("$%.1fM", c / 1e6)).when(c >= 1e3, F.format_string("$%.1fK", c / 1e3)).when(c.isNotNull(), F.format_string("$%.0f", c.cast("double")))
 
 
 def ordered_reasons(*reasons: Column) -> Column:

@@ -212,6 +212,39 @@ _PARTS = "list_filter(list_transform(string_split(replace(replace(concat_ws(', '
 _SEGMENT = "({0} IS NOT NULL AND NOT regexp_matches({0}, '[0-9]{{3,}}') AND length({0}) < 20)"
 _S1, _S2 = _SEGMENT.format("a"), _SEGMENT.format("b")
 _STATED = "concat_ws(','" + "".join(f", CASE WHEN regexp_matches(coalesce(lower(title), ''), '" + "|".join(t.replace("{}", f"(?:{p})") for t in ("sale {}", "view {}", "- {}", "{} .{0,20}urgent")).replace("'", "''") + f"') THEN '{n}' END" for p, n in (("boeung sorya [123]", "Boeung Sorya"), ("chamkar rumdoul", "Chamkar Rumdoul"), ("toul vihear thmey", "Toul Vihear Thmey"))) + ")"
+_CLEAN = r"nullif(trim(regexp_replace(translate({0}, chr(160) || chr(8203) || chr(65279), '   '), '[\s\x{{0085}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\v]+', ' ', 'g')), '')"
+_END = "(?:[^A-Za-z0-9_]|$)"
+_START = "(?:^|[^A-Za-z0-9_])"
+
+
+def _first(text: str, patterns: list[str], low: int, high: int) -> str:
+    """The first pattern's number in range, with word edges as SQL's patterns can tell them."""
+    plain = lambda p: p.replace(T.LEFT, _START).replace(T.RIGHT, _END).replace(r"(?<!\d)", "(?:^|[^0-9])").replace("'", "''")
+    value = lambda p: f"try_cast(nullif(regexp_extract({text}, '(?i){plain(p)}', 1), '') AS INTEGER)"
+    return "coalesce(" + ", ".join(f"CASE WHEN {value(p)} BETWEEN {low} AND {high} THEN {value(p)} END" for p in patterns) + ")"
+
+
+def _rooms(text: str) -> str:
+    return f"coalesce({_first(text, X.BEDROOMS, 0, 15)}, CASE WHEN regexp_matches({text}, '(?i){_START}studio{_END}') THEN 0 END)"
+
+
+_DIGITS = "translate(" + _CLEAN + ", '០១២៣៤៥៦៧៨៩', '0123456789')"
+_PLUS = r"try_cast(nullif(regexp_extract(t, '(?i)(\d{{1,2}})\s*\+\s*(\d{{1,2}})\s*-?\s*(?:bed|br)', {0}), '') AS INTEGER)"
+_COUNTED = "coalesce(CASE WHEN regexp_matches(t, '(?i)" + _START + "studio" + _END + r"') THEN 0 END, try_cast(nullif(regexp_extract(t, '(?i)(?:^|[^0-9+])(\d{1,2})\s*-?\s*(?:bed|br)', 1), '') AS INTEGER), CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){_START}{w}[\\s-]+bed') THEN {n}" for w, n in X.NUMBER_WORDS.items()) + " END)"
+_RECOVERED = "WITH r AS (SELECT bedrooms AS b, " + _rooms(_DIGITS.format("title")) + " AS t, " + _rooms(_DIGITS.format("description")) + " AS d FROM clean_khmer24) SELECT CASE WHEN b IS NOT NULL THEN 'structured' WHEN t IS NOT NULL THEN 'title' WHEN d IS NOT NULL THEN 'description' END AS source, CASE WHEN b IS NULL AND t IS NOT NULL THEN 'high' WHEN b IS NULL AND d IS NOT NULL THEN 'medium' END AS confidence, coalesce(t <> b, FALSE) OR coalesce(d <> b, FALSE) AS conflicting, count(*) AS n, sum(coalesce(b, t, d)) AS rooms FROM r GROUP BY 1, 2, 3"
+_TITLE_KEY = r"translate(lower(" + _CLEAN.format("title") + r"), 'éèê–—-_', 'eee    ')"
+for _pattern, _with in ((r"\b(?:usd|us\$|\$)\s*[\d,.]+\b", " "), (r"\b\d+(?:\.\d+)?\s*(?:sqm|sq\.?\s*m|m2|m²)([^a-z0-9_]|$)", r" \1"), (r"\b\d+(?:st|nd|rd|th)?\s+floor\b", " "), (r"\b\d+\s*(?:bed|beds|bedroom|bedrooms|br)\b", " ")):
+    _TITLE_KEY = f"regexp_replace({_TITLE_KEY}, '{_pattern}', '{_with}', 'g')"
+_LABEL = "lower(" + _CLEAN.format("listing_type") + ")"
+_TYPED = _CLEAN.format("property_type_original")
+_SALE, _RENT = (f"regexp_matches(l, '{_START}(?:{w}){_END}')" for w in ("sale|sell|buy", "rent|rental|lease"))
+_listed = lambda values: ", ".join(f"'{v}'" for v in values)
+_LABELS = (
+    f"WITH r AS (SELECT {_LABEL} AS l, {_TYPED} AS p FROM clean_khmer24) SELECT CASE WHEN l IN ({_listed(T.BOTH_LABELS)}) THEN 'sale/rent' WHEN l IN ({_listed(T.SALE_LABELS)}) THEN 'sale' WHEN l IN ({_listed(T.RENT_LABELS)}) THEN 'rent' "
+    f"WHEN {_SALE} AND {_RENT} THEN 'sale/rent' WHEN {_SALE} THEN 'sale' WHEN {_RENT} THEN 'rent' ELSE l END AS listing_type, CASE lower(p) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.TYPE_LABELS.items())
+    + r" ELSE array_to_string(list_transform(regexp_extract_all(p, '\p{L}+|[^\p{L}]+'), lambda w: upper(w[1]) || lower(w[2:])), '') END AS property_type, count(*) AS n FROM r GROUP BY 1, 2"
+)
+
 ORACLE = {
     "stated_places": f"SELECT CASE WHEN f = '' THEN 'none' WHEN contains(f, ',') THEN 'ambiguous' ELSE 'single' END AS status, f AS found, count(*) AS n FROM (SELECT {_STATED} AS f FROM clean_khmer24) GROUP BY ALL",
     "places": f"SELECT listing_id, CASE WHEN len(p) >= 2 THEN p[-2] END AS district, CASE WHEN len(p) >= 3 THEN p[-3] END AS commune FROM (SELECT listing_id, {_PARTS} AS p FROM clean_khmer24)",
@@ -240,4 +273,9 @@ ORACLE = {
     "geocode_levels": "SELECT CASE WHEN project_name IS NOT NULL THEN 'project' WHEN address IS NOT NULL THEN 'address' WHEN location_text IS NOT NULL THEN 'location_text' WHEN district IS NOT NULL THEN 'district_only' ELSE 'insufficient' END AS level, count(*) AS n FROM clean_khmer24 GROUP BY 1",
     "coordinate_checks": "SELECT coord_id, CASE WHEN latitude IS NULL OR longitude IS NULL THEN 'missing' WHEN NOT (latitude BETWEEN 11.3 AND 11.8 AND longitude BETWEEN 104.7 AND 105.1) THEN 'invalid_outside' WHEN count(*) OVER (PARTITION BY latitude, longitude) > 1 THEN 'review_duplicate_coordinate' ELSE 'valid' END AS coordinate_check FROM validated_project_coordinates",
     "project_coordinates": "WITH o AS (SELECT project_name, min(latitude) AS la FROM validated_project_coordinates WHERE latitude IS NOT NULL AND project_name IS NOT NULL GROUP BY 1 HAVING min(latitude) = max(latitude)) SELECT CASE WHEN latitude IS NOT NULL THEN 'original' WHEN la IS NOT NULL THEN 'project' END AS latitude_source, count(*) AS n, round(avg(coalesce(latitude, la)), 4) AS mean_latitude FROM clean_khmer24 LEFT JOIN o USING (project_name) GROUP BY 1",
+    "title_rooms": "WITH r AS (SELECT listing_id, " + _CLEAN.format("title") + " AS t, " + _rooms(_DIGITS.format("title")) + " AS rooms FROM clean_khmer24) SELECT listing_id, rooms, coalesce(" + _PLUS.format(1) + " + " + _PLUS.format(2) + ", " + _COUNTED + ") AS summed, coalesce(" + _PLUS.format(1) + ", " + _COUNTED + ") AS main, " + _PLUS.format(2) + " AS extra FROM r",
+    "text_floors": "SELECT listing_id, " + ", ".join(f"{_first('t', p, lo, hi)} AS {n}" for n, p, lo, hi in (("floor", X.UNIT_FLOOR, 1, 100), ("total", X.TOTAL_FLOORS, 1, 150), ("baths", X.BATHROOMS, 0, 20))) + " FROM (SELECT listing_id, " + _DIGITS.format("description") + " AS t FROM clean_khmer24)",
+    "recovered_rooms": _RECOVERED,
+    "title_keys": f"SELECT listing_id, array_to_string(list_filter(string_split(regexp_replace(coalesce({_TITLE_KEY}, ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ({_listed(T.TITLE_STOPWORDS)})), ' ') AS title_key FROM clean_harbor",
+    "listing_labels": _LABELS,
 }
