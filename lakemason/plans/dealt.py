@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakemason.operators.fill import fill_in_time, majority, unanimous
 from lakemason.operators.geo import places_within
 from lakemason.operators.lookup import resolve_values
-from lakemason.sources.tables import table
+from lakemason.sources.tables import cut_lineage, table
 
 NEAR_M = 750.0
 #: Seconds over which a building's district, and the name of the project at an address, may be
@@ -60,7 +60,7 @@ def _coordinate_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.when(F.col("lat6").isNotNull() & F.col("lon6").isNotNull(), F.struct("lat6", "lon6"))
     open_ = rows.join(unanimous(rows, "project", both), "project")
     complete = both.isNotNull()
-    named = open_.select("coord_id", "project", "agreed", F.col("lat6").cast("double").alias("latitude"), F.col("lon6").cast("double").alias("longitude"), complete.alias("complete"))
+    named = cut_lineage(open_.select("coord_id", "project", "agreed", F.col("lat6").cast("double").alias("latitude"), F.col("lon6").cast("double").alias("longitude"), complete.alias("complete")))
     filled = fill_in_time(named, "project", F.col("coord_id"), {"latitude": "number", "longitude": "number"}, {f: F.col("complete") for f in ("latitude", "longitude")}, slice_width=DELIVERIES, undated=True)
     out = None
     for field, at in (("latitude", "lat6"), ("longitude", "lon6")):
@@ -74,7 +74,7 @@ def _name_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project names that more than half of the named adverts of one address agree on."""
     rows = _adverts(spark, sf_dir).where(F.col("place").isNotNull())
     rows = rows.select("listing_id", "place", "t", F.col("project").alias("project_name"))
-    open_ = rows.join(majority(rows, "place", F.col("project_name")), "place")
+    open_ = cut_lineage(rows.join(majority(rows, "place", F.col("project_name")), "place"))
     filled = fill_in_time(open_, "place", F.col("t"), {"project_name": "category"}, {"project_name": F.col("project_name") == F.col("agreed")}, {"project_name": NAME_GAP}, undated=True)
     return _marked(filled.where(F.col("project_name_filled") == F.col("agreed")), "clean_khmer24", "listing_id", "project_name", F.col("project_name_filled"))
 
@@ -89,8 +89,8 @@ def _district_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adverts.unionByName(records).where(F.col("project").isNotNull())
     names = resolve_values(table(spark, sf_dir, "clean_khmer24").select("district").unionByName(table(spark, sf_dir, "validated_project_coordinates").select("district")), "district", table(spark, sf_dir, "district_mapping"), "raw_name", "standard_name")
     known = rows.join(names.select(F.col("value").alias("district"), F.col("standard").alias("meant")), "district", "left")
-    known = known.select("record_id", "table_name", "project", "t", F.col("district").isNull().alias("blank"), F.col("meant").alias("district"))
-    open_ = known.join(unanimous(known, "project", F.col("district")), "project")
+    known = cut_lineage(known.select("record_id", "table_name", "project", "t", F.col("district").isNull().alias("blank"), F.col("meant").alias("district")))
+    open_ = cut_lineage(known.join(unanimous(known, "project", F.col("district")), "project"))
     filled = fill_in_time(open_, "project", F.col("t"), {"district": "category"}, gap={"district": DISTRICT_GAP}, undated=True)
     wanted = filled.where(F.col("blank") & (F.col("table_name") == "clean_khmer24") & (F.col("district_filled") == F.col("agreed")))
     return _marked(wanted, "clean_khmer24", "record_id", "district", F.col("district_filled"))
