@@ -6,7 +6,7 @@ adaptive planner. Where the reference semantics is "first" or "last", an order c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,8 +58,9 @@ def fill_from_map(df: DataFrame, key: str, target: str, mapping: DataFrame, sour
 
 
 def last_by_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """One row a key, the last in order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order.desc()))).where("_n = 1").drop("_n")
+    """The row of each key that is greatest in order, rows without an order last; combined on the map side."""
+    one = df.groupBy(*key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(order.isNotNull(), order)).alias("_row"))
+    return one.select("_row.*")
 
 
 def is_missing(c: Column, kind: str) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemason.functions.numeric import in_box
+from lakemason.operators.dedupe import repeated
 from lakemason.operators.profile import determined_values
 
 
@@ -49,10 +50,9 @@ def geocode_level(levels: list[tuple[str, Column]]) -> Column:
 def check_coordinates(df: DataFrame, lat: str, lon: str, box: tuple[float, float, float, float]) -> DataFrame:
     """Adds coordinate_check: missing, invalid_outside, review_duplicate_coordinate or valid."""
     south, north, west, east = box
-    both = F.col(lat).isNotNull() & F.col(lon).isNotNull()
-    again = F.count("*").over(Window.partitionBy(lat, lon)) > 1
-    check = F.when(~both, "missing").when(~in_box(F.col(lat), F.col(lon), south, north, west, east), "invalid_outside").when(again, "review_duplicate_coordinate").otherwise("valid")
-    return df.withColumn("coordinate_check", check)
+    check = F.when(~in_box(F.col(lat), F.col(lon), south, north, west, east), "invalid_outside").when(F.col("_again"), "review_duplicate_coordinate").otherwise("valid")
+    check = F.when(F.col(lat).isNull() | F.col(lon).isNull(), "missing").otherwise(check)
+    return repeated(df, [lat, lon], "_again").withColumn("coordinate_check", check).drop("_again")
 
 
 def evidence(columns: dict[str, Column]) -> Column:

@@ -1,4 +1,4 @@
-"""A price-model workflow: stratified split, preprocessing, fit, calibrated interval, explanation."""
+"""A price-model workflow: split by hash, preprocessing, fit, calibrated interval, explanation."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemason.operators.profile import exact_quantiles
+from lakemason.operators.profile import exact_quantiles, quantiles_of
 
 LEARNERS = {"linear": LinearRegression, "forest": RandomForestRegressor, "boosted": GBTRegressor}
 
@@ -34,7 +34,7 @@ def split_label(key: Column, seed: int = 42, shares: tuple[tuple[str, int], ...]
 
 def impute(df: DataFrame, numbers: list[str], words: list[str], medians: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, float]]:
     """Exact medians of the given rows for missing numbers, each with an indicator; 'Unknown' for missing words."""
-    medians = medians or {c: exact_quantiles(df, c, (0.5,))[0] or 0.0 for c in numbers}
+    medians = medians or {c: q[0] or 0.0 for c, q in quantiles_of(df, dict.fromkeys(numbers, (0.5,))).items()}
     out = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in numbers})
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in numbers} | {c: F.coalesce(c, F.lit("Unknown")) for c in words}), medians
 

@@ -53,47 +53,64 @@ def type_profile(df: DataFrame, record: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
-    """Quantiles with linear interpolation between neighbours, exact, without a sort of all rows.
+    """Quantiles of one column with linear interpolation between neighbours: see quantiles_of."""
+    return quantiles_of(df, {column: shares})[column]
 
-    A histogram finds the narrow bin of each wanted rank; bins are searched again until few
-    values are left, which alone are sorted. Nothing larger than BINS counts or HOLD values
-    comes to one place. Nulls and NaN are left out; None where nothing is left.
+
+def quantiles_of(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns together, without a sort of all rows.
+
+    A histogram of all columns finds the narrow bin of each wanted rank; the bins are searched
+    again until few values are left, which alone come to one place. Each level is one job over
+    the rows for all columns and ranks; nothing larger than BINS counts a rank, or HOLD values
+    in all, is gathered. Nulls and NaN are left out; None where nothing is left.
     """
-    v = F.col(column).cast("double")
-    held = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
-    n, lo, hi = held.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None for _ in shares]
-    places = [(n - 1) * s for s in shares]
-    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-    found = _by_rank(held, n, lo, hi, 0, ranks)
-    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
-
-
-def _by_rank(held: DataFrame, n: int, lo: float, hi: float, before: int, ranks: list[int]) -> dict[int, float]:
-    if lo == hi:
-        return dict.fromkeys(ranks, lo)
-    if n <= HOLD:
-        values = sorted(r[0] for r in held.collect())
-        return {r: values[r - before] for r in ranks}
-    width = (hi - lo) / BINS
-    slot = F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1)).cast("int")
-    counts = held.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("slot").collect()
-    out: dict[int, float] = {}
-    for row in counts:
-        own = [r for r in ranks if before <= r < before + row["n"]]
-        if own:
-            out |= _by_rank(held.where(F.col("v").between(row["lo"], row["hi"])), row["n"], row["lo"], row["hi"], before, own)
-        before += row["n"]
-    return out
+    names = list(wanted)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("v")) for i, n in enumerate(names)])
+    held = df.select(F.explode(cells).alias("x")).select("x.c", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    sizes = {r["c"]: r for r in held.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    places = {i: [(sizes[i]["n"] - 1) * s for s in wanted[n]] for i, n in enumerate(names) if i in sizes}
+    ranks = {i: sorted({r for p in at for r in (math.floor(p), math.ceil(p))}) for i, at in places.items()}
+    found: dict[tuple[int, int], float] = {}
+    open_ = [(i, sizes[i]["lo"], sizes[i]["hi"], sizes[i]["n"], 0, own) for i, own in ranks.items()]
+    while open_:
+        for i, lo, _, _, _, own in (x for x in open_ if x[1] == x[2]):
+            found |= {(i, r): lo for r in own}
+        open_ = [x for x in open_ if x[1] < x[2]]
+        within = lambda x: (F.col("c") == x[0]) & F.col("v").between(x[1], x[2])
+        most = HOLD // max(1, len(open_))
+        large = [x for x in open_ if x[3] > most]
+        if not large:
+            kept: dict[int, list[float]] = {k: [] for k in range(len(open_))}
+            if open_:
+                for k, v in held.select(F.coalesce(*[F.when(within(x), F.lit(k)) for k, x in enumerate(open_)]).alias("k"), "v").where("k is not null").collect():
+                    kept[k].append(v)
+            for k, (i, _, _, _, before, own) in enumerate(open_):
+                kept[k].sort()
+                found |= {(i, r): kept[k][r - before] for r in own}
+            break
+        slot = lambda x: F.least(F.floor((F.col("v") - x[1]) / ((x[2] - x[1]) / BINS)), F.lit(BINS - 1)).cast("int")
+        at = F.coalesce(*[F.when(within(x), F.lit(k * BINS) + slot(x)) for k, x in enumerate(large)])
+        counts = held.select(at.alias("slot"), "v").where("slot is not null").groupBy("slot").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        open_ = [x for x in open_ if x[3] <= most]
+        before = {k: x[4] for k, x in enumerate(large)}
+        for row in sorted(counts):
+            k = row["slot"] // BINS
+            own = [r for r in large[k][5] if before[k] <= r < before[k] + row["n"]]
+            if own:
+                open_.append((large[k][0], row["lo"], row["hi"], row["n"], before[k], own))
+            before[k] += row["n"]
+    between = lambda i, p: found[i, math.floor(p)] + (found[i, math.ceil(p)] - found[i, math.floor(p)]) * (p - math.floor(p))
+    return {n: [between(i, p) for p in places[i]] if i in places else [None for _ in wanted[n]] for i, n in enumerate(names)}
 
 
 def describe(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """(column_name, stat, value): count, mean, std (sample), min, exact quantiles, max."""
-    rows = []
-    for c in columns:
-        n, mean, std, low, high = df.agg(F.count(c), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), F.max(c).cast("double")).first()
-        stats = [("count", float(n)), ("mean", mean), ("std", std), ("min", low), *[(f"p{round(100 * s):02d}", q) for s, q in zip(shares, exact_quantiles(df, c, shares), strict=True)], ("max", high)]
+    one = df.agg(*[F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), F.max(c).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    found, rows = quantiles_of(df, dict.fromkeys(columns, shares)), []
+    for i, c in enumerate(columns):
+        n, mean, std, low, high = one[f"_{i}"]
+        stats = [("count", n), ("mean", mean), ("std", std), ("min", low), *[(f"p{round(100 * s):02d}", q) for s, q in zip(shares, found[c], strict=True)], ("max", high)]
         rows += [(c, s, None if v is None else round(float(v), 6)) for s, v in stats]
     return df.sparkSession.createDataFrame(rows, "column_name string, stat string, value double")
 

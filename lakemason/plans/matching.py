@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lakemason.functions import numeric as N
 from lakemason.functions import text as T
 from lakemason.operators import dedupe, evidence, joins, pairs, review, sequences
-from lakemason.sources.tables import table
+from lakemason.sources.tables import cut_lineage, table, widen
 
-SIDES = ["district", "bedrooms", "bathrooms", "unit_floor", "price_usd", "size_m2", "property_type", "title_key"]
+SIDES = ["district", "bedrooms", "bathrooms", "unit_floor", "price_usd", "size_m2", "property_type", "title_key", "letters"]
 
 
 def first_adverts(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,10 +24,10 @@ def repeated_coordinates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def folded_adverts(spark: SparkSession, sf: str) -> DataFrame:
-    """The exact sequential fold over id, address and code."""
-    rows = table(spark, sf, "clean_khmer24").select("listing_id", T.normalize_url(F.col("url")).alias("url"), "scraped_at", "title")
-    numbered = rows.groupBy("listing_id", "url", "scraped_at").agg(F.min("title").alias("title")).withColumn("seq", F.xxhash64("scraped_at", "listing_id", "url"))
-    return dedupe.sequential_fold(numbered, "seq", ["listing_id", "url"], "k24").select("listing_id", "url", "scraped_at", "duplicate_reason", "duplicate_group_id")
+    """The exact sequential fold over id, address and code, in the order in which rows were read."""
+    rows = table(spark, sf, "clean_khmer24").select("listing_id", T.normalize_url(F.col("url")).alias("url"), F.col("source_listing_code").alias("code"), "scraped_at")
+    numbered = cut_lineage(rows.withColumn("seq", F.monotonically_increasing_id()))
+    return dedupe.sequential_fold(numbered, "seq", ["listing_id", "url", "code"], "k24").select("seq", "listing_id", "url", "code", "scraped_at", "duplicate_reason", "duplicate_group_id")
 
 
 def all_adverts(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,58 +69,88 @@ def _both(spark: SparkSession, sf: str) -> DataFrame:
     """Adverts of both sources, one row an id, with their block keys."""
     def side(name: str) -> DataFrame:
         rows = table(spark, sf, name).where("title is not null")
-        one = dedupe.first_rows(rows.select("listing_id", "title", *[c for c in SIDES if c != "title_key"]), ["listing_id"], [F.col("title"), F.col("price_usd")])
+        one = dedupe.first_rows(rows.select("listing_id", "title", *[c for c in SIDES if c not in ("title_key", "letters")]), ["listing_id"], [F.col("title"), F.col("price_usd")])
         return one.withColumn("source", F.lit(name))
 
-    rows = side("clean_khmer24").unionByName(side("clean_harbor")).withColumn("title_key", T.title_key(F.col("title")))
+    rows = side("clean_khmer24").unionByName(side("clean_harbor")).withColumn("title_key", T.title_key(F.col("title"))).withColumn("letters", pairs.letter_counts("title_key"))
     plain = lambda other: F.nullif(F.trim(F.regexp_replace(F.lower("district"), other, " ")), F.lit(""))
     kind, rooms = F.coalesce(F.lower(F.trim("property_type")), F.lit("")), F.col("bedrooms")
     place = F.coalesce(plain(r"[^a-z0-9]+"), plain(r"[^\p{L}\p{M}\p{N}]+"))
     bands = {"size": ([kind, rooms], N.neighbour_bands(F.col("size_m2"), 5.0)), "price": ([kind, place], N.neighbour_bands(F.col("price_usd"), 10000.0)), "word": ([kind], pairs.longest_words(F.col("title_key")))}
     keys = pairs.block_keys({"place": [kind, place, rooms]}, bands)
-    return rows.withColumn("blocks", keys)
+    return cut_lineage(rows.withColumn("blocks", keys))
 
 
 def blocked_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs across sources in one district, room count and neighbouring size band."""
     rows = _both(spark, sf).where("property_type is not null and district is not null and bedrooms is not null and size_m2 is not null")
     keys = pairs.block_keys({}, {"size": ([F.col("property_type"), F.col("district"), F.col("bedrooms")], N.neighbour_bands(F.col("size_m2"), 5.0))})
-    return pairs.candidate_pairs(rows.withColumn("blocks", keys), "listing_id", "source", "blocks", 300)
+    return pairs.candidate_pairs(rows.withColumn("blocks", keys), "listing_id", "source", "blocks")
 
 
-def _met(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.met_pairs(_both(spark, sf), "listing_id", "source", "blocks", SIDES)
+def _conditions(both) -> list[tuple[str, Column, float]]:
+    """The parts of a pair's score that need no title, all the same in either order of the sides."""
+    eq = lambda c: both(c)[0] == both(c)[1]
+    floors = both("unit_floor")
+    return [
+        ("same_type", eq("property_type"), 5.0), ("same_district", eq("district"), 15.0), ("same_bedrooms", eq("bedrooms"), 15.0), ("same_bathrooms", eq("bathrooms"), 5.0),
+        ("near_floor", F.abs(floors[0] - floors[1]) <= 1, 10.0), ("price_near", pairs.close(*both("price_usd"), 0.08), 10.0), ("price_close", pairs.close(*both("price_usd"), 0.03), 10.0),
+        ("size_near", pairs.close(*both("size_m2"), 0.08, 5.0), 10.0), ("size_close", pairs.close(*both("size_m2"), 0.03, 2.0), 10.0),
+    ]
+
+
+def _cores(conditions: list[tuple[str, Column, float]]) -> tuple[Column, Column]:
+    """(pairs kept whatever their score, pairs kept if their titles are very like)."""
+    by_name = {n: N.sure(c) for n, c, _ in conditions}
+    close, near = by_name["size_close"] & by_name["price_close"], by_name["size_near"] & by_name["price_near"]
+    return by_name["same_bedrooms"] & (close | (by_name["same_district"] & near)), near
 
 
 def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    eq = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
-    sim = F.col("title_sim")
-    plain = [
-        ("same_type", eq("property_type"), 5.0), ("same_district", eq("district"), 15.0), ("same_bedrooms", eq("bedrooms"), 15.0), ("same_bathrooms", eq("bathrooms"), 5.0),
-        ("near_floor", F.abs(F.col("unit_floor_a") - F.col("unit_floor_b")) <= 1, 10.0), ("price_near", pairs.close("price_usd_a", "price_usd_b", 0.08), 10.0), ("price_close", pairs.close("price_usd_a", "price_usd_b", 0.03), 10.0),
-        ("size_near", pairs.close("size_m2_a", "size_m2_b", 0.08, 5.0), 10.0), ("size_close", pairs.close("size_m2_a", "size_m2_b", 0.03, 2.0), 10.0),
-    ]
+    """Pairs across sources that score 60 or more, or meet a strong combination of conditions."""
+
+    def needed(both) -> Column:
+        """What the titles' likeness must reach for the pair to be kept; null where none can be enough."""
+        conditions = _conditions(both)
+        base = sum((F.when(N.sure(c), F.lit(w)).otherwise(0.0) for _, c, w in conditions), F.lit(0.0))
+        sure, near = _cores(conditions)
+        return T.bound(base, lambda v: F.when((v >= 60) | sure, 0.0).when(v >= 53, 0.5).when(v >= 45, 0.68).when((v >= 35) | near, 0.84))
+
+    met = pairs.met_pairs(_both(spark, sf), "listing_id", "source", "blocks", SIDES, judge=needed)
+    met = widen(met)  # few of all pairs are left, and their titles cost most
+    met = met.withColumn("title_sim", pairs.title_similarity(F.col("title_key_a"), F.col("title_key_b"), F.col("judged"), F.col("letters_a"), F.col("letters_b"))).where("title_sim >= judged")
+    sim, conditions = F.col("title_sim"), _conditions(lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b")))
     titles = [("title_high", sim >= 0.84, 10.0), ("title_medium", sim >= 0.68, 8.0), ("title_low", sim >= 0.5, 7.0)]
-    # a pair that its title can't lift over the limit is dropped before titles are compared
-    within_reach = sum((F.when(N.sure(c), F.lit(w)).otherwise(0.0) for _, c, w in plain), F.lit(25.0)) >= 60.0
-    near = _met(spark, sf).where(within_reach).withColumn("title_sim", pairs.title_similarity(F.col("title_key_a"), F.col("title_key_b")))
-    return pairs.score(near, plain + titles, 60.0, [(85.0, "high"), (70.0, "medium")]).select("a", "b", "score", "confidence", "title_sim")
+    sure, near = _cores(conditions)
+    return pairs.score(met, conditions + titles, 60.0, [(85.0, "high"), (70.0, "medium")], sure | (near & (sim >= 0.84))).select("a", "b", "score", "confidence", "title_sim")
 
 
 def judged_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The strict tree: the first failing test names the outcome."""
-    differ = lambda c: F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull() & (F.col(f"{c}_a") != F.col(f"{c}_b"))
-    known = F.col("unit_floor_a").isNotNull() & F.col("unit_floor_b").isNotNull()
-    early = pairs.first_failing([
-        ("district_conflict", differ("district")), ("bedrooms_conflict", differ("bedrooms")), ("floors_conflict", differ("unit_floor")), ("price_differs", ~pairs.close("price_usd_a", "price_usd_b", 0.03)), ("size_differs", ~pairs.close("size_m2_a", "size_m2_b", 0.03, 2.0)),
-    ], "")
+
+    def early(both) -> Column:
+        def differ(c: str) -> Column:
+            a, b = both(c)
+            return a.isNotNull() & b.isNotNull() & (a != b)
+
+        tests = [
+            ("district_conflict", differ("district")), ("bedrooms_conflict", differ("bedrooms")), ("floors_conflict", differ("unit_floor")),
+            ("price_differs", ~pairs.close(*both("price_usd"), 0.03)), ("size_differs", ~pairs.close(*both("size_m2"), 0.03, 2.0)),
+        ]
+        floors = both("unit_floor")
+        return pairs.first_failing([*tests, ("floors", floors[0].isNotNull() & floors[1].isNotNull())], "no_floors")
+
     # titles are compared where no earlier test decides, each pair of titles once
-    title = lambda side: F.when(F.col("early") == "", F.col(f"title_key_{side}")).alias(f"title_{side}")
-    met = _met(spark, sf).withColumn("early", early).select("early", known.alias("known"), title("a"), title("b"))
-    groups = met.groupBy("early", "known", "title_a", "title_b").agg(F.count("*").alias("n"))
-    sim = pairs.title_similarity(F.col("title_a"), F.col("title_b"))
-    late = pairs.first_failing([("title_too_different", sim < F.when(F.col("known"), 0.68).otherwise(0.75)), ("uncertain", ~F.col("known"))], "strict")
-    return groups.groupBy(F.when(F.col("early") == "", late).otherwise(F.col("early")).alias("outcome")).agg(F.sum("n").alias("n"))
+    met = pairs.met_pairs(_both(spark, sf), "listing_id", "source", "blocks", SIDES, judge=early)
+    undecided = F.col("judged").isin("floors", "no_floors")
+    compared = ["title_key_a", "title_key_b", "letters_a", "letters_b"]
+    met = met.select("judged", *[F.when(undecided, F.col(c)).alias(c) for c in compared])
+    groups = widen(met.groupBy("judged", *compared).agg(F.count("*").alias("n")))
+    known = F.col("judged") == "floors"
+    least = F.when(known, 0.68).otherwise(0.75)
+    sim = pairs.title_similarity(F.col("title_key_a"), F.col("title_key_b"), least, F.col("letters_a"), F.col("letters_b"))
+    late = pairs.first_failing([("title_too_different", sim < least), ("uncertain", ~known)], "strict")
+    return groups.groupBy(F.when(undecided, late).otherwise(F.col("judged")).alias("outcome")).agg(F.sum("n").alias("n"))
 
 
 def pair_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,7 +215,7 @@ ORACLE = {
     "merged_customers": "WITH b AS (SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_name END AS n, c_acctbal AS a FROM customer), u AS (SELECT c_custkey, upper(c_name) AS n2, CASE WHEN c_acctbal > 0 THEN c_acctbal + 1 END AS a2 FROM customer WHERE c_nationkey < 10) SELECT c_custkey, coalesce(n, n2) AS c_name, round(coalesce(a2, a), 2) AS c_acctbal FROM b FULL JOIN u USING (c_custkey)",
     "latest_events": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL) WHERE rn = 1",
     "filled_names": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN n_name ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 'nation' ELSE 'original' END AS c_mktsegment_source FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
-    "blocked_pairs": f"WITH r AS ({_ONE.format(t='clean_khmer24', cols=_COLS)} UNION ALL {_ONE.format(t='clean_harbor', cols=_COLS)}), k AS (SELECT listing_id, source, property_type, district, bedrooms, unnest([round_even(size_m2 / 5.0, 0) - 1, round_even(size_m2 / 5.0, 0), round_even(size_m2 / 5.0, 0) + 1]) AS band FROM r WHERE property_type IS NOT NULL AND district IS NOT NULL AND bedrooms IS NOT NULL AND size_m2 IS NOT NULL), f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY property_type, district, bedrooms, band) AS n FROM k) WHERE n BETWEEN 2 AND 300) SELECT DISTINCT x.listing_id AS a, y.listing_id AS b FROM f x JOIN f y USING (property_type, district, bedrooms, band) WHERE x.listing_id < y.listing_id AND x.source <> y.source",
+    "blocked_pairs": f"WITH r AS ({_ONE.format(t='clean_khmer24', cols=_COLS)} UNION ALL {_ONE.format(t='clean_harbor', cols=_COLS)}), k AS (SELECT listing_id, source, property_type, district, bedrooms, unnest([round_even(size_m2 / 5.0, 0) - 1, round_even(size_m2 / 5.0, 0), round_even(size_m2 / 5.0, 0) + 1]) AS band FROM r WHERE property_type IS NOT NULL AND district IS NOT NULL AND bedrooms IS NOT NULL AND size_m2 IS NOT NULL) SELECT DISTINCT x.listing_id AS a, y.listing_id AS b FROM k x JOIN k y USING (property_type, district, bedrooms, band) WHERE x.listing_id < y.listing_id AND x.source <> y.source",
     "pair_sources": "SELECT concat(least(x.n_name, y.n_name), ' <-> ', greatest(x.n_name, y.n_name)) AS pair, count(*) AS n FROM nation x JOIN nation y USING (n_regionkey) WHERE x.n_name <> y.n_name GROUP BY 1",
     "band_duplicates": _BANDS + "SELECT a, b FROM p",
     "numbered_pairs": _BANDS + "SELECT a, b, printf('pair_%05d', row_number() OVER (ORDER BY a, b)) AS pair_id FROM p",

@@ -180,7 +180,8 @@ def test_pairs(spark):
     df = spark.createDataFrame([(1, "x", "time square riverside", 60.0), (2, "y", "time square", 62.0), (3, "x", "time square", 61.0), (4, "y", None, None)], "id int, src string, t string, s double")
     keyed = df.withColumn("blocks", pairs.block_keys({}, {"size": ([F.lit("c")], F.array(F.bround(F.col("s") / 5.0)))}))
     assert rows(pairs.candidate_pairs(keyed, "id", "src", "blocks")) == [(1, 2), (2, 3)]
-    assert pairs.candidate_pairs(keyed, "id", "src", "blocks", largest=2).count() == 0
+    many = spark.range(3000).select("id", F.when(F.col("id") < 2, "x").otherwise("y").alias("src"), F.array(F.lit("one")).alias("blocks"))
+    assert pairs.candidate_pairs(many, "id", "src", "blocks").count() == 2 * 2998  # no block is too large
     sim = spark.createDataFrame([("time square 306 riverside tower", "time square riverside tower"), ("", "a")], "a string, b string").select(pairs.title_similarity(F.col("a"), F.col("b"))).collect()
     assert sim[0][0] == pytest.approx(0.9310, abs=1e-4) and sim[1][0] == 0.0
     assert spark.createDataFrame([("tower of london bridges a",)], "t string").select(pairs.longest_words(F.col("t"))).first()[0] == ["bridges", "london", "tower"]
