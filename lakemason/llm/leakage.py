@@ -33,6 +33,10 @@ _OPENING = re.compile(r"(?:^|[.!?;:]\s+)\W*[A-Z]")
 #: Share of an item that a passage must span, of the passage that must agree, and of its facts;
 #: and what the last two must come to together.
 SPAN, AGREE, FACTS, TOGETHER = 0.5, 0.84, 0.6, 1.58
+#: Seeds of an item that a document must hold for a comparison, as a share of the item's units,
+#: for words and for letters: half of an item with AGREE of its units the same holds three to
+#: four times as many on average (share of seeds whose units all agree x masks x positions).
+HITS = (0.25, 0.05)
 #: Units that may be skipped within a passage, on either side.
 GAP = 4
 
@@ -94,7 +98,7 @@ def item_units(items: DataFrame) -> DataFrame:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(h, i, j, size): every seed of every item, where it stands, and the item's number of units."""
+    """(h, i, j, size, least): every seed of every item, where it stands, the item's units, and the seeds that a document needs."""
     kind = dict(items.dtypes)["i"]
 
     def seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,9 +107,9 @@ def item_seeds(items: DataFrame) -> DataFrame:
                 own = np.asarray(own, np.int64).view(np.uint64)
                 for mask in LETTER_MASKS if letters else WORD_MASKS:
                     found, at = _seeds(own, np.zeros(len(own), np.int64), mask)
-                    yield pd.DataFrame({"h": found.view(np.int64), "i": i, "j": at, "size": len(own)})
+                    yield pd.DataFrame({"h": found.view(np.int64), "i": i, "j": at, "size": len(own), "least": int(HITS[bool(letters)] * len(own))})
 
-    return items.mapInPandas(seed, f"h long, i {kind}, j int, size int").distinct()
+    return items.mapInPandas(seed, f"h long, i {kind}, j int, size int, least int").distinct()
 
 
 def best_passage(item: list[int], fact: np.ndarray, text: list[int], near: int) -> tuple[float, float, float]:
@@ -183,7 +187,8 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
     hits = docs.select("r", "text").mapInPandas(sift, "h long, r long, at int").join(seeds.hint("merge"), "h")
     # hits of one passage lie on about one diagonal
     wide = F.greatest(F.lit(8), F.floor(F.col("size") / 2))
-    spots = hits.groupBy("r", "i").agg(F.collect_set(F.floor((F.col("at") - F.col("j")) / wide).cast("int")).alias("diagonals"))
+    spots = hits.groupBy("r", "i").agg(F.collect_set(F.floor((F.col("at") - F.col("j")) / wide).cast("int")).alias("diagonals"), F.count("*").alias("n"), F.max("least").alias("least"))
+    spots = spots.where("n >= least").drop("n", "least")
     met = spots.join(known.select("i", "units", "fact").hint("merge"), "i").join(docs.dropDuplicates(["r"]).hint("merge"), "r").select("r", "d", "text", "i", "units", "fact", "diagonals")
     kinds = dict(met.dtypes)
 
