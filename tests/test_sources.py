@@ -86,3 +86,21 @@ def test_windowed_counts_and_late_rows(spark, tmp_path):
     query = counts.writeStream.outputMode("append").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r["n"] for r in spark.table("counts").collect()] == [2]
+
+
+def test_store_by_buckets(spark, tmp_path):
+    """Every batch writes the buckets it touches; the newest row of each key stays, whatever the batch."""
+    from lakemason.streaming.upsert import latest, upsert_stream
+
+    schema = "k long, at long, v string"
+    batches = [[(1, 1, "a"), (2, 1, "b"), (3, 1, "c")], [(1, 2, "d"), (4, 1, "e")], [(1, 1, "old"), (4, 5, "f")], [(1, 9, "g")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "landing"))
+        upsert_stream(stream, str(tmp_path / "store"), ["k"], "at", str(tmp_path / "state"), buckets=4).awaitTermination()
+        seen = {}
+        for k, at, v in (r for batch in batches[: n + 1] for r in batch):
+            seen[k] = max(seen.get(k, (0, "")), (at, v))
+        assert {r["k"]: (r["at"], r["v"]) for r in latest(spark, str(tmp_path / "store")).collect()} == seen
+    kept = [p for p in (tmp_path / "store").glob("v=*/_bucket=*") if any(p.iterdir())]
+    assert max(sum(p.name == f"_bucket={b}" for p in kept) for b in range(4)) <= 2
