@@ -154,6 +154,20 @@ def _judge(chain: list, size: int, fact: np.ndarray) -> tuple[float, float, floa
     return best
 
 
+def within_reach(item: list[int], fact: np.ndarray, held: set[int]) -> bool:
+    """Can a document of these units hold enough of the facts of any passage that is long enough?
+
+    A passage of SPAN has the facts of some window of that length at least, and FACTS of them
+    must agree, one in any case: an exact bound, without looking at the passages.
+    """
+    if not fact.any():
+        return True
+    length = int(np.ceil(SPAN * len(item)))
+    sums = np.concatenate([[0], np.cumsum(fact)])
+    fewest = int((sums[length:] - sums[: len(sums) - length]).min())
+    return sum(item[i] in held for i in np.flatnonzero(fact).tolist()) >= max(1, FACTS * fewest)
+
+
 def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """One row (doc_id, item_id, span, agreement, facts) for each document and item it holds.
 
@@ -193,13 +207,16 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
     kinds = dict(met.dtypes)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, []
+        last, own, has = None, [], set()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 if row.r != last:  # rows of one document come one after the other
                     last, own = row.r, units([row.text])[0].view(np.int64).tolist()
+                    has = set(own)
                 item, fact = [int(u) for u in row.units], np.asarray(row.fact, bool)
+                if not within_reach(item, fact, has):
+                    continue
                 size = max(8, len(item) // 2)
                 best = max((best_passage(item, fact, own, max(0, int(g) * size + size)) for g in sorted(row.diagonals)), key=_better)
                 if best[0] >= SPAN and _same(best):

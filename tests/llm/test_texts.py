@@ -154,6 +154,18 @@ def test_leaks_among_many_items(spark):
         assert got == {(1, 0)} | ({(2, 40)} if n > 40 else set())
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.booleans()), min_size=1, max_size=40), st.lists(st.integers(0, 30), max_size=60))
+def test_bound_by_facts_is_exact(item, text):
+    """No passage that counts is out of reach by the bound."""
+    import numpy as np
+
+    units, fact = [u for u, _ in item], np.array([f for _, f in item])
+    best = leakage.best_passage(units, fact, text, 0)
+    counts = best[0] >= leakage.SPAN and leakage._same(best)
+    assert not counts or leakage.within_reach(units, fact, set(text))
+
+
 @pytest.mark.parametrize(
     "units",
     [
