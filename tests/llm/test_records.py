@@ -239,3 +239,17 @@ def test_key_with_two_texts(spark):
     assert {tuple(r) for r in neardup.near_pairs(df, "id", F.col("text")).collect()} == {("x", "y"), ("x", "z")}
     got = {r["key"]: r["class_id"] for r in neardup.near_duplicates(df, "id", F.col("text")).collect()}
     assert set(got) == {"x", "y", "z"} and len(set(got.values())) == 1
+
+
+def test_adverts_without_description_are_told_apart_by_their_flats(spark, tmp_path):
+    from lakemason.llm.queries import p5_classes, p5_found
+
+    told = " ".join(f"word{i}" for i in range(30))
+    adverts = [
+        ("a1", "good area 2BR urgent sale!!", None, "Condo", 2, 80.0, 9), ("a2", "good area 2BR urgent sale!!", "", "Condo", 2, 61.0, 9), ("a3", "good area 2BR urgent sale!! 80m2", None, "Condo", 2, 80.0, 9),
+        ("b1", "new building 3BR", None, "Condo", 3, None, None), ("b2", "new building 3BR", None, "Condo", 3, None, None), ("b3", "new building 3BR", None, "Condo", None, 3.0, None),
+        ("c1", "one title", told, "Condo", 1, 40.0, 2), ("c2", "one title", told + " more", "Condo", None, 40.0, None),
+    ]
+    spark.createDataFrame(adverts, "listing_id string, title string, description string, property_type string, bedrooms int, size_m2 double, unit_floor int").write.parquet(f"{tmp_path}/clean_khmer24.parquet")
+    assert {tuple(r) for r in p5_found(spark, str(tmp_path)).collect()} == {("a1", "a3"), ("b1", "b2"), ("c1", "c2")}
+    assert {r["listing_id"] for r in p5_classes(spark, str(tmp_path)).collect()} == {"a1", "a3", "b1", "b2", "c1", "c2"}
