@@ -1,3 +1,4 @@
+import difflib
 import itertools
 import random
 
@@ -220,6 +221,46 @@ def test_scored_pairs_meet_under_each_surveyed_family(spark, tmp_path):
     assert rows(matching.judged_pairs(spark, sf)) == [("price_differs", 1), ("strict", 1), ("title_too_different", 2)]
 
 
+def test_judged_pairs_are_counted_not_listed(spark, tmp_path, monkeypatch):
+    """The same counts as of all pairs in a plain loop, with nulls and ids of both sources; blocks of thousands without their pairs."""
+    rng = random.Random(11)
+    words = ["garden", "palace", "riverside", "tower", "flat", "unit", "lotus"]
+
+    def advert(i):
+        return {
+            "listing_id": i, "title": " ".join(rng.sample(words, rng.randrange(1, 4))), "property_type": rng.choice(["Condo", "Condo", " condo", "Villa", None]), "district": rng.choice(["A", "a ", "B", "", "-", None]), "bedrooms": rng.choice([1, 2, None]),
+            "unit_floor": rng.choice([3, 4, None]), "price_usd": rng.choice([None, 0.0, -97.0, -100.0, 97000.0, 100000.0, rng.uniform(9e4, 1.3e5)]), "size_m2": rng.choice([None, 80.0, 82.0, 78.0, rng.uniform(60, 90)]),
+        }
+
+    sides = [[advert(i) for i in ids] for ids in ([f"k{i}" for i in range(150)] + ["x1", "x2", "x3"], [f"h{i}" for i in range(120)] + ["x1", "x2", "x3", "z"])]
+    sf = _adverts(spark, tmp_path / "small", *sides)
+    met = matching._both(spark, sf).select("listing_id", "source", "blocks", "title_key", *[c for c in matching.SIDES if c not in ("title_key", "letters")]).collect()
+    keys = {(r["listing_id"], r["source"]): {b for b in r["blocks"] if b} for r in met}
+    like, want = {}, {}
+    for x, y in itertools.product(*[[r for r in met if r["source"] == s] for s in ("clean_khmer24", "clean_harbor")]):
+        a, b = sorted((x, y), key=lambda r: r["listing_id"])
+        if a["listing_id"] == b["listing_id"] or not keys[a["listing_id"], a["source"]] & keys[b["listing_id"], b["source"]]:
+            continue
+        near = lambda c, least: None not in (a[c], b[c]) and abs(a[c] - b[c]) <= max(0.03 * max(abs(a[c]), abs(b[c])), least)  # noqa: B023, E731
+        conflict = next((n for c, n in (("district", "district"), ("bedrooms", "bedrooms"), ("unit_floor", "floors")) if None not in (a[c], b[c]) and a[c] != b[c]), None)
+        known = None not in (a["unit_floor"], b["unit_floor"])
+        pair = (a["title_key"], b["title_key"])
+        if pair not in like:
+            sim, (m, n) = difflib.SequenceMatcher(None, *pair).ratio(), [set(t.split()) for t in pair]
+            like[pair] = round(max(sim, len(m & n) / len(m | n)), 4)
+        out = f"{conflict}_conflict" if conflict else "price_differs" if not near("price_usd", 0) else "size_differs" if not near("size_m2", 2.0) else "title_too_different" if like[pair] < (0.68 if known else 0.75) else "strict" if known else "uncertain"
+        want[out] = want.get(out, 0) + 1
+    assert len(want) == 8
+
+    def listed(*_, **__):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(pairs, "met_pairs", listed)
+    assert dict(rows(matching.judged_pairs(spark, sf))) == want
+    large = _adverts(spark, tmp_path / "large", [{"listing_id": f"k{i:05d}", "title": f"kilo{i}", "unit_floor": i} for i in range(5000)], [{"listing_id": f"h{i:05d}", "title": "other", "unit_floor": -1 - i} for i in range(4000)])
+    assert rows(matching.judged_pairs(spark, large)) == [("floors_conflict", 20_000_000)]
+
+
 def test_scored_pairs_of_a_large_block(spark, tmp_path):
     sf = _adverts(spark, tmp_path, [{"listing_id": f"k{i:03d}", "title": f"kilo{i}"} for i in range(310)], [{"listing_id": "h1", "title": "other"}])
     assert matching.scored_pairs(spark, sf).count() == 310
