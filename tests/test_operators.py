@@ -1,13 +1,15 @@
 import difflib
 import itertools
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lakemason.operators import dedupe, fill, joins, location, pairs, profile, resolve, review, rules
+from lakemason.functions import matchings
+from lakemason.operators import dedupe, fill, joins, location, pairs, profile, resolve, review, rules, scored
 from lakemason.operators.components import components
 from lakemason.operators.modelling import conformal_rank, conformal_width, split_label
 from lakemason.plans import matching
@@ -261,6 +263,65 @@ def test_judged_pairs_are_counted_not_listed(spark, tmp_path, monkeypatch):
     assert rows(matching.judged_pairs(spark, large)) == [("floors_conflict", 20_000_000)]
 
 
+def test_scored_pairs_against_a_plain_loop(spark, tmp_path, monkeypatch):
+    """All pairs, scores and likenesses, with nulls, empty and long titles and ids of both sources; blocks cut into parts."""
+    rng = random.Random(21)
+    words = ["garden", "palace", "riverside", "tower", "flat", "unit", "lotus", "corner", "ab", "northern gate of the old royal market"]
+
+    def advert(i):
+        return {
+            "listing_id": i, "title": " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 4, 9, 30]))), "property_type": rng.choice(["Condo", "Condo", " condo", "Villa", None]), "district": rng.choice(["A", "a ", "B", "", "-", None]), "bedrooms": rng.choice([1, 2, None]), "bathrooms": rng.choice([1, 2, None]),
+            "unit_floor": rng.choice([3, 4, 6, None]), "price_usd": rng.choice([None, 0.0, -97.0, -100.0, 97000.0, 100000.0, rng.uniform(9e4, 1.3e5)]), "size_m2": rng.choice([None, 80.0, 82.0, 78.0, rng.uniform(60, 90)]),
+        }
+
+    sides = [[advert(i) for i in ids] for ids in ([f"k{i}" for i in range(110)] + ["x1", "x2", "x3", None], [f"h{i}" for i in range(90)] + ["x1", "x2", "x3", "z", None])]
+    sf = _adverts(spark, tmp_path, *sides)
+    met = [r for r in matching._both(spark, sf).select("listing_id", "source", "blocks", *[c for c in matching.SIDES if c != "letters"]).collect() if r["listing_id"]]
+    like, want = {}, []
+    for x, y in itertools.product(*[[r for r in met if r["source"] == s] for s in ("clean_khmer24", "clean_harbor")]):
+        a, b = sorted((x, y), key=lambda r: r["listing_id"])
+        if a["listing_id"] == b["listing_id"] or not {k for k in a["blocks"] if k} & {k for k in b["blocks"] if k}:
+            continue
+        near = lambda c, rel, least=0.0: None not in (a[c], b[c]) and abs(a[c] - b[c]) <= max(rel * max(abs(a[c]), abs(b[c])), least)  # noqa: B023, E731
+        same = lambda c: a[c] is not None and a[c] == b[c]  # noqa: B023, E731
+        around, beside = near("price_usd", 0.08) and near("size_m2", 0.08, 5.0), near("price_usd", 0.03) and near("size_m2", 0.03, 2.0)
+        base = sum(w for c, w in (("property_type", 5), ("district", 15), ("bedrooms", 15), ("bathrooms", 5)) if same(c)) + 10 * near("unit_floor", 0.0, 1)
+        base += 10 * (near("price_usd", 0.08) + near("price_usd", 0.03) + near("size_m2", 0.08, 5.0) + near("size_m2", 0.03, 2.0))
+        pair = (a["title_key"], b["title_key"])
+        if pair not in like:
+            m, n = (set(t.split()) for t in pair)
+            exact = max(difflib.SequenceMatcher(None, *pair).ratio(), len(m & n) / max(1, len(m | n))) if "" not in pair else 0.0
+            like[pair] = float(Decimal(repr(exact)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+        score = base + 10 * (like[pair] >= 0.84) + 8 * (like[pair] >= 0.68) + 7 * (like[pair] >= 0.5)
+        if score >= 60 or same("bedrooms") and (beside or same("district") and around) or around and like[pair] >= 0.84:
+            want.append((a["listing_id"], b["listing_id"], float(score), "high" if score >= 85 else "medium" if score >= 70 else "low", like[pair]))
+
+    want.sort(key=lambda r: tuple(str(x) for x in r))
+
+    def listed(*_, **__):
+        raise AssertionError("all pairs of all blocks are listed")
+
+    monkeypatch.setattr(pairs, "met_pairs", listed)
+    assert len(want) > 300 and max(len(t) for p in like for t in p) > 400
+    assert rows(matching.scored_pairs(spark, sf)) == want
+    monkeypatch.setattr(scored, "PART", 7)
+    assert rows(matching.scored_pairs(spark, sf)) == want
+
+
+def test_ratios_are_those_of_the_sequence_matcher():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdé ខ") for _ in range(rng.randrange(n))) for n in (3, 20, 64, 66, 90, 199, 201, 300) for _ in range(60)]
+    texts += [" ".join(f"w{rng.randrange(400)}" for _ in range(n)) for n in (150, 200) for _ in range(4)]
+    t, n = matchings.Texts(texts), len(texts)
+    a, b = (np.array([rng.randrange(n) for _ in range(6000)]) for _ in range(2))
+    want = np.array([difflib.SequenceMatcher(None, texts[i], texts[j]).ratio() if texts[i] and texts[j] else 0.0 for i, j in zip(a, b, strict=True)])
+    assert (matchings.ratios(t, a, b, np.zeros(len(a))) == want).all()
+    some = matchings.ratios(t, a, b, np.full(len(a), 0.5))
+    assert (some[want >= 0.5] == want[want >= 0.5]).all() and ((some == want) | (some == 0)).all() and (some == 0).sum() > 1000
+    sets = [{w for w in x.split(" ") if w} for x in texts]
+    assert list(matchings.common_words(t, a, b)) == [len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i, j in zip(a, b, strict=True)]
+
+
 def test_scored_pairs_of_a_large_block(spark, tmp_path):
     sf = _adverts(spark, tmp_path, [{"listing_id": f"k{i:03d}", "title": f"kilo{i}"} for i in range(310)], [{"listing_id": "h1", "title": "other"}])
     assert matching.scored_pairs(spark, sf).count() == 310
@@ -271,7 +332,7 @@ def test_band_pairs_against_all_pairs(spark):
     data = [(i, rng.choice("pq"), rng.uniform(20, 40), rng.uniform(1e5, 1.3e5)) for i in range(120)]
     got = rows(dedupe.band_pairs(spark.createDataFrame(data, "id int, d string, s double, p double"), "id", ["d"], "s", 2.0, "p", 0.03))
     want = [(a[0], b[0]) for a, b in itertools.combinations(data, 2) if a[1] == b[1] and abs(a[2] - b[2]) <= 2 and abs(a[3] - b[3]) <= 0.03 * max(a[3], b[3])]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == want
 
 
 def test_location(spark):
